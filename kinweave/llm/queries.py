@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, licenses, mixing, quality, simhash, substrings, token_counts
+from . import contamination, licenses, mixing, pii, quality, simhash, substrings, token_counts
 from .common import table
 
 #: Vocabulary file for op2; a parameter, never copied here.
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_extraction": op1_pii_extraction,
     "op2_token_counts": op2_token_counts,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_substring_dedup": op5_substring_dedup,
