@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, raw_texts
+from .common import map_arrow, materialise, raw_texts
 from .components import components
 
 BITS, BUDGET, SEED = 64, 3, 42
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
             fps = np.array([fingerprint(shingle_hashes(x, k)) for x in raw_texts(batch.column(1))], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 # --- the trie join of one task: arrays of nodes, each a range of sorted keys ---
@@ -198,7 +198,7 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> D
     parts = sized.withColumn("k", k).withColumn("s", slice_).select("rot", "top", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(pair)).alias("part"), "fp")
     parts = parts.withColumn("part", F.col("part").cast("long"))
     dealt = parts.repartition("rot", "top", "part").sortWithinPartitions("rot", "top", "part", "fp")
-    return dealt.mapInArrow(lambda it: _join_sorted(it, budget), "u long, v long")
+    return map_arrow(dealt, lambda it: _join_sorted(it, budget), "u long, v long")
 
 
 def _signed(x: int) -> int:

@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, raw_texts
+from .common import blocks, buffers, map_arrow, raw_texts
 from .wordhash import SPAN_BASES, prefix_hash, word_hashes
 
 #: Cells of a sketch row are a power of two; this many powers at least and at most.  Two rows of bits are
 #: broadcast: 2 * 2**28 / 8 = 64 MB at most.  A fuller sketch only lets more windows into pass 2.
 LEAST_POWER, MOST_POWER, SEGMENT = 20, 28, 20
 ROWS = 2
-#: Bytes of text to a shard, and the least number of shards; words to a block.
-SHARD_BYTES, LEAST_SHARDS, BLOCK_WORDS = 8 << 20, 64, 1 << 19
-#: Anchors that a task holds before it hands on a partition sketch.
-SKETCH_ANCHORS = 2 << 20
+#: Bytes of text to a shard, and the least number of shards.
+SHARD_BYTES, LEAST_SHARDS = 8 << 20, 64
+#: Bytes of text hashed at once, candidate windows to a block, anchors to a partition sketch.
+STEP_BYTES, BLOCK_WINDOWS, SKETCH_ANCHORS = 1 << 19, 1 << 19, 1 << 20
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("bucket", "<i4")])
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u4")])
 
@@ -65,14 +65,11 @@ def cells(anchor: np.ndarray, power: int) -> list[np.ndarray]:
     return [(anchor * np.uint64(m)) >> shift for m in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)]
 
 
-def word_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, word hashes, first words) of groups of texts with about BLOCK_WORDS words."""
-    h, first = word_hashes(*buffers(batch.column(column)))
-    i = 0
-    while i < len(first) - 1:
-        j = max(i + 1, int(np.searchsorted(first, first[i] + BLOCK_WORDS, "right")) - 1)
-        yield np.arange(i, j), h[first[i] : first[j]], first[i : j + 1] - first[i]
-        i = j
+def word_blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, word hashes, first words) of groups of texts with about STEP_BYTES bytes."""
+    data, offsets = buffers(batch.column(column))
+    for i, j in blocks(offsets, STEP_BYTES):
+        yield slice(i, j), *word_hashes(data, offsets[i : j + 1])
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, power: int) -> Iterator[pa.RecordBatch]:
@@ -123,8 +120,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch(docs: DataFrame, size: int, power: int) -> np.ndarray:
     """Bits of the merged sketch, row after row: set where a cell counts two or more."""
-    parts = docs.select("text").mapInArrow(lambda it: _sketch(it, size, power), "segment long, packed binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, bits binary")
+    parts = map_arrow(docs.select("text"), lambda it: _sketch(it, size, power), "segment long, packed binary")
+    merged = map_arrow(parts.repartition("segment").sortWithinPartitions("segment"), _merge, "segment long, bits binary")
     bits = np.zeros((ROWS << power) // 8, np.uint8)
     width = (1 << SEGMENT) // 8
     for segment, packed in merged.toLocalIterator():
@@ -164,6 +161,8 @@ def _deal(kind: int, key: np.ndarray, *parts: np.ndarray) -> pa.RecordBatch:
 
 def _candidates(batches: Iterator[pa.RecordBatch], size: int, power: int, bits: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     """(bucket, doc_id, text) -> kind 0: windows for a shard, kind 1: runs of known repeats for a bucket."""
+    held: list[tuple[np.ndarray, ...]] = []
+    n = words = 0
     for batch in batches:
         buckets = batch.column(0).to_numpy(zero_copy_only=False)
         docs = batch.column(1).to_numpy(zero_copy_only=False)
@@ -171,32 +170,39 @@ def _candidates(batches: Iterator[pa.RecordBatch], size: int, power: int, bits:
             start, text, anchor, place = anchors(h, first, size)
             found = repeated(bits, anchor, power)
             start, text, anchor, place = start[found], text[found], anchor[found], place[found]
-            if not len(start):
-                continue
             key = [prefix_hash(h, b)(start, start + size) for b in SPAN_BASES]
-            doc, bucket = docs[rows][text], buckets[rows][text].astype(np.int32)
             at = (start - first[text]).astype(np.int32)
-            later = not_first(key[0], key[1], doc, at)
-            order = np.lexsort((at[later], doc[later]))
-            known = to_runs(*(x[later][order] for x in (doc, at, bucket)))
-            yield _deal(1, known["bucket"], known)
-            keep = ~later
-            window = np.zeros(keep.sum(), WINDOW)
-            window["h"], window["g"] = key[0][keep], key[1][keep] >> np.uint64(32)
-            doc, at, bucket, anchor, place, text = (x[keep] for x in (doc, at, bucket, anchor, place, text))
-            apart = np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])))
-            run = to_runs(doc, at, bucket, apart)
-            begin = np.cumsum(run["n"]) - run["n"]
-            shard = (anchor[begin] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            run, begin, shard = run[order], begin[order], shard[order]
-            cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(shard))
-            packed = []
-            for a, b in zip(cut, ends):
-                own = np.repeat(begin[a:b], run["n"][a:b]) + _within(run["n"][a:b])
-                packed.append(np.array([b - a], "<i8").tobytes() + run[a:b].tobytes() + window[own].tobytes())
-            yield pa.record_batch([pa.array(np.zeros(len(cut)), pa.int32()), pa.array(shard[cut]), pa.array(packed, pa.binary())], names=["kind", "key", "packed"])
+            held.append((key[0], key[1] >> np.uint64(32), docs[rows][text], at, buckets[rows][text].astype(np.int32), anchor, place + words))
+            n, words = n + len(start), words + len(h) + 1
+            if n >= BLOCK_WINDOWS:
+                yield from _send(held, shards)
+                held, n = [], 0
+    if n:
+        yield from _send(held, shards)
+
+
+def _send(held: list[tuple[np.ndarray, ...]], shards: int) -> Iterator[pa.RecordBatch]:
+    """A block's candidate windows -> its known repeats, and its first occurrences by shard."""
+    h, g, doc, at, bucket, anchor, place = (np.concatenate(x) for x in zip(*held))
+    later = not_first(h, g, doc, at)
+    order = np.lexsort((at[later], doc[later]))
+    known = to_runs(*(x[later][order] for x in (doc, at, bucket)))
+    yield _deal(1, known["bucket"], known)
+    keep = ~later
+    window = np.zeros(keep.sum(), WINDOW)
+    window["h"], window["g"] = h[keep], g[keep]
+    doc, at, bucket, anchor, place = (x[keep] for x in (doc, at, bucket, anchor, place))
+    run = to_runs(doc, at, bucket, np.concatenate(([True], place[1:] != place[:-1])))
+    begin = np.cumsum(run["n"]) - run["n"]
+    shard = (anchor[begin] % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    run, begin, shard = run[order], begin[order], shard[order]
+    cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+    packed = []
+    for a, b in zip(cut, np.append(cut[1:], len(shard))):
+        own = np.repeat(begin[a:b], run["n"][a:b]) + _within(run["n"][a:b])
+        packed.append(np.array([b - a], "<i8").tobytes() + run[a:b].tobytes() + window[own].tobytes())
+    yield pa.record_batch([pa.array(np.zeros(len(cut)), pa.int32()), pa.array(shard[cut]), pa.array(packed, pa.binary())], names=["kind", "key", "packed"])
 
 
 def _within(n: np.ndarray) -> np.ndarray:
@@ -299,12 +305,12 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     shards = max(LEAST_SHARDS, total // SHARD_BYTES)
     held = own.sparkSession.sparkContext.broadcast(sketch(own, size, power))
     own = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("bucket"), "doc_id", "text")
-    entries = own.mapInArrow(lambda it: _candidates(it, size, power, held.value, shards), "kind int, key long, packed binary")
+    entries = map_arrow(own, lambda it: _candidates(it, size, power, held.value, shards), "kind int, key long, packed binary")
     dealt = entries.repartition("kind", "key").sortWithinPartitions("kind", "key")
-    runs = dealt.mapInArrow(_resolve, "kind int, key long, packed binary")
+    runs = map_arrow(dealt, _resolve, "kind int, key long, packed binary")
     none = F.lit(None)
     both = own.select("bucket", F.lit(True).alias("is_doc"), "doc_id", "text", none.cast("binary").alias("packed")).unionByName(
         runs.select(F.col("key").cast("int").alias("bucket"), F.lit(False).alias("is_doc"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "packed")
     )
     met = both.repartition("bucket").sortWithinPartitions("bucket", "is_doc")
-    return met.mapInArrow(lambda it: _apply(it, size), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    return map_arrow(met, lambda it: _apply(it, size), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")

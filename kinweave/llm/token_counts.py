@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_texts
+from .common import map_arrow, raw_texts
 
 #: White space, a blank, then more white space or the end: pieces would not be independent.
 ODD = re.compile(r"\s (?:\s|$)")
@@ -112,5 +112,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
+    out = map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {SCHEMA}")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
