@@ -5,12 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinweave.llm import contamination, languages, mixing, pii, simhash
 from kinweave.llm.common import materialise, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null text, no letter) go; the others get the predicted one as lang."""
+    found = languages.identify(docs, languages.fit_sample(docs))
+    return found.where(F.col("lang_pred") != languages.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays; repeated rows of it go too,
+    and rows without a doc_id."""
+    own = simhash.near_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    own = materialise(own)
+    kept = docs.join(own.select("doc_id"), "doc_id", "left_semi")
+    if not own.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a window of a benchmark item go."""
+    found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return found.where("leak.n_hit = 0").select(*docs.columns)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind in brackets; n_chars follows the text."""
+    return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: a row for each time that a document is drawn, with its epoch, block and place."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("redact", redact),
+    ("mix", mix),
+]
 
 #: A trained classifier decides in the first stage, which SQL cannot express.
 ORACLE_SQL = None
