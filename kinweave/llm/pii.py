@@ -36,6 +36,8 @@ LEAST_DIGITS = 5
 ROUNDS, ACCEPT, DISCOUNT = 3, 0.6, 4.0
 KINDS = list(SEEDS)
 CONTEXT_CHARS = 32
+#: Documents with added spans that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def digits(s: Column) -> Column:
@@ -110,7 +112,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     some = F.coalesce("text", F.lit("")).rlike("[0-9@]")
     # Texts without a digit or an at sign have neither.
     found = F.when(some, let(text, both))
-    return docs.select("doc_id", found.alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "x.base", "x.others")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), found.alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mark", "x.base", "x.others")
 
 
 def discover(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, discount: float = DISCOUNT) -> DataFrame:
@@ -152,6 +154,34 @@ def find(docs: DataFrame) -> DataFrame:
     return seen.join(added, "rid", "left").select("doc_id", F.coalesce(base, none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
+def _cut(text: Column, spans: Column) -> Column:
+    """text with each span, or group of overlapping ones, replaced by the first one's kind in brackets."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    done = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every found span of text replaced by its kind in brackets; null text stays null."""
+    seen = materialise(occurrences(docs))
+    added = materialise(discover(seen).join(seen.select("rid", "doc_id", "mark"), "rid").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("kind", "start", "end")).alias("__added")))
+    few = added.count() <= BROADCAST_ROWS
+    met = added.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "__added")
+    met = F.broadcast(met) if few else met
+    both = docs.join(met, docs["doc_id"].eqNullSafe(met["__doc"]) & (F.xxhash64(docs["text"]) == met["__mark"]), "left")
+    plain = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    more = F.coalesce("__added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    text = let(F.col("text"), lambda t: let(F.concat(plain(seed_spans(t)), more), lambda s: _cut(t, s)))
+    return both.withColumn("text", F.when(F.col("text").rlike("[0-9@]"), text).otherwise(F.col("text"))).select(*docs.columns)
+
+
 def _line(spans: Column) -> Column:
     order = F.array(*[F.lit(k) for k in KINDS])
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
