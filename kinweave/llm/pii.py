@@ -30,8 +30,11 @@ SEEDS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: An identifier-like string: it begins and ends with a letter or digit and has five digits or an at sign.
-THING = r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9@._:/#-]*+)(?<=[A-Za-z0-9])"
 LEAST_DIGITS = 5
+THING = (
+    rf"(?<![A-Za-z0-9])(?=(?:[A-Za-z@._:/#-]*+[0-9]){{{LEAST_DIGITS}}}|[A-Za-z0-9._:/#-]++@)"
+    r"[A-Za-z0-9](?:[A-Za-z0-9@._:/#-]*)(?<=[A-Za-z0-9])"
+)
 #: Rounds of scoring, the score from which an instance is found, and the occurrences by which a pattern's score is discounted.
 ROUNDS, ACCEPT, DISCOUNT = 3, 0.6, 4.0
 KINDS = list(SEEDS)
@@ -92,8 +95,7 @@ def _checked(text: Column, kind: str, pattern: str) -> Column:
 def _things(text: Column, seeds: Column) -> Column:
     """Identifier-like strings outside the seeds, with a null kind."""
     free = lambda p: ~F.exists(seeds, lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"]))
-    like = lambda v: (F.length(digits(v)) >= LEAST_DIGITS) | v.contains("@")
-    kept = F.filter(places(text, THING, "[0-9@]"), lambda p: like(p["value"]) & free(p))
+    kept = F.filter(places(text, THING, "[0-9@]"), free)
     return F.transform(kept, lambda p: F.struct(F.lit(None).cast("string").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
 
 
