@@ -114,14 +114,13 @@ def candidate_pairs(keys: DataFrame, usable: DataFrame) -> DataFrame:
 def char_grams(text: Column, low: int, high: int) -> Column:
     """N-grams within words padded by one blank; a word not longer than n gives itself and no longer ones."""
 
+    def of_length(w: Column, n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+        grams = F.transform(places, lambda i: F.substr(w, i, F.lit(n)))
+        return grams if n == low else F.when(F.length(w) >= n, grams).otherwise(F.array().cast("array<string>"))
+
     def of_word(w: Column) -> Column:
-        parts = []
-        for n in range(low, high + 1):
-            many = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
-            grams = F.transform(many, lambda i, n=n: F.substr(w, i, F.lit(n)))
-            keep = F.lit(True) if n == low else F.length(w) >= n
-            parts.append(F.when(keep, grams).otherwise(F.array().cast("array<string>")))
-        return F.concat(*parts)
+        return F.concat(*[of_length(w, n) for n in range(low, high + 1)])
 
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     return F.flatten(F.transform(F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" "))), of_word))
