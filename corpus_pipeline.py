@@ -19,13 +19,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != languages.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+#: Ids of dropped documents that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; repeated rows of it go too,
-    and rows without a doc_id."""
-    own = simhash.near_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    own = materialise(own)
-    kept = docs.join(own.select("doc_id"), "doc_id", "left_semi")
-    if not own.where("n > 1").isEmpty():
+    """Of each group of near copies the document with the smallest doc_id stays; repeated rows of it go too.
+
+    The ids that go are far fewer than those that stay, and the texts need no shuffle to meet them.
+    """
+    groups = materialise(simhash.near_groups(docs).select("doc_id", "component_id"))
+    gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(*docs.columns)
 
