@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, raw_texts
+from .common import discard, map_arrow, materialise, raw_texts
 
 #: Share of a group's documents that an estimate rests on, and concentration steps.
 COVERED, STEPS = 0.75, 3
@@ -29,6 +29,7 @@ NAMES = list(FLOORS)
 #: Squared Mahalanobis distance beyond which a document is rejected; the 0.975 quantile for six normal
 #: statistics would be 14.4, and text statistics have heavier tails than that.
 CUT = 100.0
+BROADCAST_GROUPS = 20_000
 MEDIAN_CHI2 = 5.348  # of six degrees of freedom
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _WS = b" \t\n\r\x0b\x0c"
@@ -87,7 +88,7 @@ def measure(docs: DataFrame) -> DataFrame:
     grp = F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")])
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = ", ".join([f"doc_id {kind}, grp string", *(f"{c} long" for c in _COUNTS), *(f"{c} double" for c in NAMES)])
-    return docs.select("doc_id", grp.alias("grp"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", grp.alias("grp"), "text"), run, schema)
 
 
 def _shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +120,15 @@ def _distance() -> Column:
 
 
 def estimates(stats: DataFrame) -> DataFrame:
-    """(grp, center, w, scale) from all rows of stats."""
+    """(grp, center, w, scale) from all rows of stats.
+
+    Tables with a row a group are broadcast up to BROADCAST_GROUPS rows (under 1 kB each); beyond, joined by a shuffle.
+    """
     p = len(NAMES)
+    few = stats.select("grp").distinct().count() <= BROADCAST_GROUPS
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     middle = stats.groupBy("grp").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in NAMES])
-    spread = stats.join(middle, "grp").groupBy("grp").agg(
+    spread = stats.join(small(middle), "grp").groupBy("grp").agg(
         F.array(*[F.first(f"m_{c}") for c in NAMES]).alias("center"),
         F.array(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000) * 1.4826 for c in NAMES]).alias("s"),
     )
@@ -130,16 +136,16 @@ def estimates(stats: DataFrame) -> DataFrame:
     w = F.array(*[1 / F.sqrt(F.col("s")[i] * F.col("s")[i] + F.lit(FLOORS[NAMES[i]] ** 2)) if i == j else F.lit(0.0) for i, j in flat])
     now = materialise(spread.select("grp", "center", w.alias("w")))
     for _ in range(STEPS):
-        far = stats.join(now, "grp").select("grp", *NAMES, _distance().alias("d"))
+        far = stats.join(small(now), "grp").select("grp", *NAMES, _distance().alias("d"))
         bound = far.groupBy("grp").agg(F.percentile_approx("d", COVERED, 1000).alias("bound"))
-        core = far.join(bound, "grp").where("d <= bound")
+        core = far.join(small(bound), "grp").where("d <= bound")
         moments = core.groupBy("grp").agg(F.array(*[F.avg(c) for c in NAMES]), F.array(*[F.avg(F.col(NAMES[i]) * F.col(NAMES[j])) for i, j in flat]))
-        after = materialise(moments.mapInArrow(_shape, "grp string, center array<double>, w array<double>"))
+        after = materialise(map_arrow(moments, _shape, "grp string, center array<double>, w array<double>"))
         discard(now)
         now = after
     # The covariance of the core is too small for the whole; never scale it down.
-    scale = stats.join(now, "grp").groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN_CHI2).alias("scale"))
-    return now.join(scale, "grp")
+    scale = stats.join(small(now), "grp").groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx(_distance(), 0.5, 1000) / MEDIAN_CHI2).alias("scale"))
+    return small(now.join(small(scale), "grp"))
 
 
 def judge(docs: DataFrame, cut: float = CUT) -> DataFrame:
