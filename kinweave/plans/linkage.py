@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.config import Settings
+from kinweave.functions import cleaning, indic, text
+from kinweave.functions import tables as T
 from kinweave.functions.cleaning import clean_records
 from kinweave.operators import blocking, decide, learning
 from kinweave.operators.features import FEATURES, pair_features
@@ -30,23 +33,70 @@ def clean(records: DataFrame, state: dict | None = None) -> DataFrame:
     return clean_records(records, state)
 
 
-def learn_state(records: DataFrame, truth: DataFrame, settings: Settings) -> dict:
-    """Learned tables for cleaning: vocabulary and short forms; driver-side dicts, bounded by their limits."""
-    words = clean_records(records)
-    names = words.where("src = 1").select(F.explode("name_tokens").alias("word"))
-    vocab = {r["word"]: r["cnt"] for r in learning.vocabulary(names).toLocalIterator()}
-    a = words.where("src = 1").select(F.col("entity_id").alias("s1_id"), F.col("name_tokens").alias("nl"), F.col("addr_tokens").alias("al"))
-    b = words.where("src > 1").select(F.col("entity_id").alias("tgt_id"), F.col("name_tokens").alias("nr"), F.col("addr_tokens").alias("ar"))
-    met = truth.join(a, "s1_id").join(b, "tgt_id")
-    from kinweave.functions import tables as T
+#: Entries of a learned table at most; they are broadcast to the cleaning workers.
+TABLE_ENTRIES = 300_000
 
+
+def _met(records: DataFrame, truth: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """True pairs with fields of both sides, as <name>_1 and <name>_2."""
+    a = records.where("src = 1").select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{n}_1") for n, c in fields.items()])
+    b = records.where("src > 1").select(F.col("entity_id").alias("tgt_id"), *[F.col(c).alias(f"{n}_2") for n, c in fields.items()])
+    return truth.join(a, "s1_id").join(b, "tgt_id")
+
+
+def learn_translit(records: DataFrame, truth: DataFrame) -> dict[str, str]:
+    """Words of Indian scripts with what true matches write for them, by votes."""
+    pairs = _met(records, truth, {"raw": "business_name"}).where(text.has_indic(F.col("raw_2")) & ~text.has_indic(F.col("raw_1")))
+
+    @F.pandas_udf("array<struct<word:string,sound:string>>")
+    def sounds(names: pd.Series) -> pd.Series:
+        def each(name: str) -> list[dict[str, str]]:
+            words = indic.prepare(name or "").split() if indic.LETTERS.search(name or "") else cleaning.tokenize(cleaning.base_clean(name or ""))
+            return [{"word": w, "sound": cleaning.phonetic(indic.to_latin(w))} for w in words]
+
+        return names.map(each)
+
+    ready = pairs.select(F.concat_ws(":", "s1_id", "tgt_id").alias("id"), sounds("raw_2").alias("left"), sounds("raw_1").alias("right"))
+    votes = learning.aligned_words(ready).where(text.has_indic(F.col("word")))
+    return {r["word"]: r["value"] for r in learning.dictionary_votes(votes).limit(TABLE_ENTRIES).toLocalIterator()}
+
+
+def learn_protected(records: DataFrame, truth: DataFrame) -> list[str]:
+    """Look-alikes of legal words that are words of their own: true matches keep them."""
+    words = _met(records, truth, {"raw": "business_name"}).select(*[text.tokens(text.base_clean(F.col(f"raw_{i}"))).alias(f"w{i}") for i in (1, 2)])
+
+    @F.pandas_udf("string")
+    def fixed(w: pd.Series) -> pd.Series:
+        return w.map(cleaning.fix_legal_typo)
+
+    each = words.select(F.explode(F.array_distinct("w1")).alias("word"), "w2").where(F.col("word").rlike("^[a-z]{5,}$") & ~text.one_of(T.LEGAL, F.col("word")))
+    # The typo check runs once for each distinct word.
+    known = each.select("word").distinct().withColumn("to", fixed("word")).where("to <> word")
+    met = each.join(known, "word").select("word", F.array_contains("w2", F.col("word")).alias("kept"), (~F.array_contains("w2", F.col("word")) & F.array_contains("w2", F.col("to"))).alias("fixed"))
+    return sorted(r["word"] for r in learning.protected_words(met).limit(TABLE_ENTRIES).toLocalIterator())
+
+
+def learn_state(records: DataFrame, truth: DataFrame, settings: Settings | None = None) -> dict:
+    """Learned tables for cleaning, each bounded: Indian words, protected words, vocabulary, short forms."""
+    settings = settings or Settings()
     spark = records.sparkSession
-    out = {"vocab": vocab}
-    for name, left, right, known in (("names", "nl", "nr", T.NAME_SHORT.keys() | set(T.NAME_SHORT.values()) | T.LEGAL | T.NAME_STOP | T.HONORIFIC), ("addresses", "al", "ar", T.ADDR_SHORT.keys() | set(T.ADDR_SHORT.values()) | T.ADDR_DROP | T.ADDR_STOP | T.STATE_CODES)):
+    names = records.where(F.col("src") == 1).where(~text.has_indic(F.coalesce("business_name", F.lit(""))))
+    words = names.select(F.explode(text.tokens(text.base_clean(F.col("business_name")))).alias("word"))
+    state = {
+        "translit": learn_translit(records, truth),
+        "protect": learn_protected(records, truth),
+        "vocab": {r["word"]: r["cnt"] for r in learning.vocabulary(words, limit=TABLE_ENTRIES).toLocalIterator()},
+    }
+    cleaned = clean_records(records, state)
+    listed = {
+        "names": ("name_tokens", T.NAME_SHORT.keys() | set(T.NAME_SHORT.values()) | T.LEGAL | T.NAME_STOP | T.HONORIFIC),
+        "addresses": ("addr_tokens", T.ADDR_SHORT.keys() | set(T.ADDR_SHORT.values()) | T.ADDR_DROP | T.ADDR_STOP | T.STATE_CODES),
+    }
+    for name, (column, known) in listed.items():
         protected = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in sorted(known)])).alias("word"))
-        mined = learning.mine_abbreviations(met.select(F.col(left).alias("left"), F.col(right).alias("right")), protected, settings.mine_abbrev_min_count)
-        out[name] = {r["short"]: r["long"] for r in mined.limit(100_000).toLocalIterator()}
-    return out
+        pairs = _met(cleaned, truth, {"w": column}).select(F.col("w_1").alias("left"), F.col("w_2").alias("right"))
+        state[name] = {r["short"]: r["long"] for r in learning.mine_abbreviations(pairs, protected, settings.mine_abbrev_min_count).limit(TABLE_ENTRIES).toLocalIterator()}
+    return state
 
 
 def candidates_and_features(cleaned: DataFrame, settings: Settings) -> DataFrame:
