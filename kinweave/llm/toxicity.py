@@ -25,8 +25,9 @@ from .common import crc_mod, map_arrow, raw_texts
 
 #: Labelled rows of either class, and unlabelled rows, that are fitted on at most.
 TOXIC_ROWS, CLEAN_ROWS, PLAIN_ROWS = 1_200, 2_400, 600
-#: Terms at most; toxic texts that a term must be in; the least share of toxic ones among texts with it, smoothed.
-TERMS, LEAST_TEXTS, LEAST_SHARE = 1_500, 6, 0.75
+#: Terms at most; toxic texts that a term must be in, by level, as chance seldom repeats a word; the least share of
+#: toxic ones among texts with it, smoothed.
+TERMS, LEAST_TEXTS, LEAST_SHARE = 1_500, {"1": 6, "2": 3, "3": 3}, 0.75
 PREFIXES = (4, 5, 6)
 ROUNDS, STEPS, RIDGE = 10, 300, 2e-3
 THRESHOLD = 0.3
@@ -104,7 +105,7 @@ def choose_terms(texts: list[bytes], toxic: np.ndarray, clean_weight: float, lim
             seen.add(key)
             (hits if y else others).update(terms(raw))
     share = lambda n, m: n / (n + m * clean_weight + 1)
-    good = [(n, t) for t, n in hits.items() if n >= LEAST_TEXTS and share(n, others[t]) >= LEAST_SHARE]
+    good = [(n, t) for t, n in hits.items() if n >= LEAST_TEXTS.get(t[0], 6) and share(n, others[t]) >= LEAST_SHARE]
     good.sort(key=lambda x: (-x[0], x[1]))
     chosen = [t for _, t in good[:limit]]
     return chosen + [t for t in SHAPES if chosen and t not in chosen]
