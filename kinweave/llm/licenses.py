@@ -131,3 +131,40 @@ def scan(docs: DataFrame) -> DataFrame:
         line(F.concat(own, F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.when(n > 0, 1.0).otherwise(F.least(F.coalesce("best", F.lit(0.0)), F.lit(1.0))).alias("score"),
     )
+
+
+def sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
+    """scan() in DuckDB's SQL."""
+    lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = "regexp_extract_all(" + lower + ", '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    rows = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in templates)
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) AS start, '{label}' AS label FROM d" for p, label in PHRASES.items()
+    )
+    return f"""
+WITH d AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
+tw AS (SELECT label, {words.format("text")} AS w FROM (VALUES {rows}) v(label, text)),
+t AS (SELECT label, len(w) AS t_words, i - 1 AS t_pos, w[i:i + {K - 1}] AS gram FROM (SELECT label, w, unnest(range(1, len(w) - {K - 2})) AS i FROM tw)),
+g AS (SELECT doc_id, i - 1 AS pos, w[i:i + {K - 1}] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d)),
+m AS (SELECT doc_id, label, t_words, pos - t_pos AS diagonal, pos, t_pos FROM g JOIN t USING (gram)),
+v AS (SELECT doc_id, label, t_words, diagonal, min(pos) AS first, max(pos) AS last FROM m GROUP BY ALL),
+o AS (SELECT *, max(last) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(diagonal) OVER q AS before FROM v WINDOW q AS (PARTITION BY doc_id, label ORDER BY first, diagonal)),
+f AS (SELECT *, CASE WHEN reach IS NULL OR first > reach + {K + GAP_WORDS} OR abs(diagonal - before) > {NEAR_DIAGONALS} THEN 1 ELSE 0 END AS fresh FROM o),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM f),
+e AS (SELECT doc_id, label, span, min(first) AS a, max(last) + {K} AS b FROM s GROUP BY ALL),
+x AS (SELECT m.*, span FROM m JOIN s ON m.doc_id = s.doc_id AND m.label = s.label AND m.diagonal = s.diagonal),
+ct AS (SELECT doc_id, label, t_words, span, count(DISTINCT k) AS n FROM (SELECT doc_id, label, t_words, span, unnest(range(t_pos, t_pos + {K})) AS k FROM x) GROUP BY ALL),
+cd AS (SELECT doc_id, label, span, count(DISTINCT k) AS n FROM (SELECT doc_id, label, span, unnest(range(pos, pos + {K})) AS k FROM x) GROUP BY ALL),
+sp AS (SELECT ct.doc_id, ct.label, ct.n / t_words AS coverage, cd.n / (b - a) AS density FROM ct JOIN cd ON ct.doc_id = cd.doc_id AND ct.label = cd.label AND ct.span = cd.span JOIN e ON e.doc_id = ct.doc_id AND e.label = ct.label AND e.span = ct.span),
+added AS (SELECT doc_id, list(label) FILTER (coverage >= {COVERED} AND density >= {DENSE}) AS more, max(coverage) AS best FROM sp GROUP BY doc_id),
+at_ AS ({base}),
+b AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, list(DISTINCT label) AS own FROM at_ GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,
+  CASE WHEN coalesce(n, 0) > 0 THEN 1.0::DOUBLE ELSE least(coalesce(best, 0.0), 1.0)::DOUBLE END AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN added USING (doc_id)
+"""
+
+
+SQL = sql()

@@ -77,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": substrings.SQL,
+    "op8_license_scans": licenses.SQL,
     "op7_source_mixing": mixing.SQL,
     "op9_benchmark_decontamination": contamination.SQL,
 }
