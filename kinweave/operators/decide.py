@@ -86,25 +86,42 @@ def macro_f05(decided: DataFrame, truth: DataFrame, entities: DataFrame) -> Data
     return entity_scores(decided, truth, entities).agg(F.avg("f05").alias("macro_f05"), F.count("*").alias("n"))
 
 
-def search_rules(scored: DataFrame, truth: DataFrame, entities: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(rule_id, mode, t, miss, w0, min_p, single_owner, macro_f05): all rules in one job.
+def _kept_rules(ready: DataFrame, rules: list[Rule]) -> DataFrame:
+    """ready (from prefix_sums) with a row for each rule that keeps the pair: rule_id.
 
-    Rules are a small table of parameters: pairs meet all of them once, after the prefix sums that rules share.
+    What depends on the query record is one window column for each pair of miss and min_p; the rules are then
+    conditions on the row, so only kept pairs are multiplied.
     """
+    entity = Window.partitionBy("s1_id")
+    combos = sorted({(r.miss, r.min_p) for r in rules if r.mode != "threshold"})
+    best = {}
+    for i, (miss, least) in enumerate(combos):
+        ef = F.when(F.col("q") >= least, 1.25 * F.col("cum") / (F.col("k") + 0.25 * (F.col("all") + miss))).otherwise(F.lit(-1.0))
+        best[f"best_{i}"] = F.max(F.struct(ef.alias("ef"), (-F.col("k")).alias("nk"))).over(entity)
+    rows = ready.withColumns(best)
+
+    def keeps(r: Rule) -> Column:
+        if r.mode == "threshold":
+            return F.col("p").cast("float") >= F.lit(r.t).cast("float")
+        b = F.col(f"best_{combos.index((r.miss, r.min_p))}")
+        return (F.col("k") <= -b["nk"]) & (r.w0 * F.exp("log_none") * (1 - min(r.miss, 0.99)) < b["ef"])
+
+    ids = F.filter(F.array(*[F.when(keeps(r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    return rows.select(*ready.columns, F.explode(ids).alias("rule_id"))
+
+
+def search_rules(scored: DataFrame, truth: DataFrame, entities: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """(rule_id, mode, t, miss, w0, min_p, single_owner, macro_f05): all rules in one job."""
     rules = rules or rule_grid()
     spark = scored.sparkSession
     cells = [F.struct(F.lit(i).alias("rule_id"), *[F.lit(v).alias(k) for k, v in vars(r).items()]) for i, r in enumerate(rules)]
     y = truth.select("s1_id", "tgt_id").distinct().withColumn("y", F.lit(1))
-    ready = prefix_sums(scored).join(y, ["s1_id", "tgt_id"], "left")
-    each = ready.withColumn("r", F.explode(F.array(*cells))).select("*", "r.*").drop("r")
-    ef = F.when(F.col("q") >= F.col("min_p"), 1.25 * F.col("cum") / (F.col("k") + 0.25 * (F.col("all") + F.col("miss")))).otherwise(F.lit(-1.0))
-    empty = F.col("w0") * F.exp("log_none") * (1 - F.least("miss", F.lit(0.99)))
-    best = F.max(F.struct(ef.alias("ef"), (-F.col("k")).alias("nk"))).over(Window.partitionBy("s1_id", "rule_id"))
-    by_f = F.col("k") <= F.when(empty >= best["ef"], F.lit(0)).otherwise(-best["nk"])
-    kept = each.withColumn("keep", F.when(F.col("mode") == "threshold", F.col("p").cast("float") >= F.col("t").cast("float")).otherwise(by_f)).where("keep")
+    kept = _kept_rules(prefix_sums(scored).join(y, ["s1_id", "tgt_id"], "left"), rules).select("s1_id", "src", "tgt_id", "p", "y", "rule_id")
+    alone = F.get(F.array(*[F.lit(r.single_owner) for r in rules]), F.col("rule_id"))
     owner = F.row_number().over(Window.partitionBy("src", "tgt_id", "rule_id").orderBy(F.desc("p"), "s1_id"))
-    kept = kept.withColumn("o", owner).where(~F.col("single_owner") | (F.col("o") == 1))
-    got = kept.groupBy("rule_id", "s1_id").agg(F.sum(F.coalesce("y", F.lit(0))).alias("tp"), F.count("*").alias("kept"))
+    shared = kept.where(~alone)
+    owned = kept.where(alone).withColumn("o", owner).where("o = 1").drop("o")
+    got = shared.unionByName(owned).groupBy("rule_id", "s1_id").agg(F.sum(F.coalesce("y", F.lit(0))).alias("tp"), F.count("*").alias("kept"))
     ids = entities.select("s1_id").distinct()
     want = ids.join(y.groupBy("s1_id").agg(F.count("*").alias("true")), "s1_id", "left").fillna(0, ["true"])
     # Records without a kept pair score 1 if they have no match and 0 otherwise: count them from totals.
