@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import tempfile
 import uuid
@@ -31,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[DataFrame] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Tables still there when the driver's program ends go; results that read them have been taken by then."""
+    for df in _written:
+        try:
+            discard(df)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            return
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder, return a scan of what was written."""
     spark = df.sparkSession
@@ -38,6 +52,7 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kinweave_path = path
+    _written.append(out)
     return out
 
 
@@ -48,6 +63,7 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        df.kinweave_path = None
 
 
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
