@@ -87,7 +87,9 @@ def vectors(texts: list[bytes]) -> np.ndarray:
 
 
 def fit(texts: list[bytes], labels: list[str]) -> Model:
-    """Machines from labelled texts that have letters."""
+    """Machines from labelled texts that have letters; none without a text."""
+    if not texts:
+        return {"families": [], "languages": {}, "pairs": [], "weights": np.zeros((0, 0), np.float32)}
     x, y = vectors(texts), np.array(labels, object)
     # Features count by how much they vary over the sample; the constant is last.
     scale = 1 / (x.std(axis=0) + 1e-4)
