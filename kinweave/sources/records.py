@@ -43,21 +43,31 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("file", F.struct("block", "id").alias("pos"), "line")
 
 
-def glue_lines(lines: DataFrame, group: list[str], order: str, start: Column, line: str = "line") -> DataFrame:
+def glue_lines(lines: DataFrame, group: list[str], order: str, start: Column, line: str = "line", chunk: Column | None = None) -> DataFrame:
     """Lines from one start to the next, joined by blanks: gaps and islands within each group.
 
-    A running count of starts numbers the records.  The window is one group (a file) wide, as order in a file is
-    its meaning; records before the first start are dropped.
+    A running count of starts numbers the records; lines before the first start are dropped.  chunk cuts a group into
+    parts that follow each other in the order, such as the splits of a file: then a task counts within one chunk, and
+    only the chunks' totals, a row each, are summed up over the group.
     """
-    own = Window.partitionBy(*group).orderBy(order)
-    marked = lines.withColumn("rec", F.sum(F.when(start, 1).otherwise(0)).over(own)).where(F.col("rec") > 0)
-    parts = marked.groupBy(*group, "rec").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("parts"))
+    hit = F.when(start, 1).otherwise(0)
+    if chunk is None:
+        marked = lines.withColumn("rec", F.sum(hit).over(Window.partitionBy(*group).orderBy(order)))
+    else:
+        cut = lines.withColumn("__chunk", chunk)
+        totals = cut.groupBy(*group, "__chunk").agg(F.sum(hit).alias("n"))
+        earlier = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*group, "__chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+        local = F.sum(hit).over(Window.partitionBy(*group, "__chunk").orderBy(order))
+        marked = cut.withColumn("rec", local).join(before, [*group, "__chunk"]).withColumn("rec", F.col("rec") + F.col("__before")).drop("__chunk", "__before")
+    parts = marked.where(F.col("rec") > 0).groupBy(*group, "rec").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(line).alias("t")))).alias("parts"))
     return parts.select(*group, "rec", F.array_join(F.transform("parts", lambda p: p["t"]), " ").alias("text"), F.size("parts").alias("n_lines"))
 
 
 def repair_fields(text: Column, countries: list[str]) -> Column:
     """Four fields of a glued line: middle fields join the address, missing ones are empty, a country at the end of a third field is cut off."""
-    fields = F.transform(F.split(F.regexp_replace(text, "^﻿", ""), "\t"), F.trim)
+    # With F.trim itself, transform would pass each field's place as the character to trim.
+    fields = F.transform(F.split(F.regexp_replace(text, "^﻿", ""), "\t"), lambda x: F.trim(x))
     tail = rf"(?i)[\s,]+({'|'.join(countries)})\s*$"
     n = F.size(fields)
     at = lambda i: F.coalesce(F.get(fields, F.lit(i)), F.lit(""))
@@ -74,7 +84,7 @@ def repair_file(spark: SparkSession, path: str, source: int, countries: tuple[st
     order = [c.strip() for c in header[0][0].split("\t")] if header else COLUMNS
     order = order if set(order) == set(COLUMNS) else COLUMNS
     body = lines.where(~(F.col("line").contains("entity_id") & F.col("line").contains("business_name")))
-    glued = glue_lines(body, ["file"], "pos", F.col("line").rlike("^S[123]-"))
+    glued = glue_lines(body, ["file"], "pos", F.col("line").rlike("^S[123]-"), chunk=F.col("pos.block"))
     fields = glued.select("file", "rec", "n_lines", repair_fields(F.col("text"), list(countries)).alias("f"))
     out = fields.select("file", "rec", "n_lines", *[F.get("f", F.lit(order.index(c))).alias(c) for c in COLUMNS])
     return out.withColumn("src", F.lit(source).cast("tinyint"))

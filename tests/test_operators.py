@@ -190,6 +190,28 @@ def test_repair_of_a_broken_file(spark, tmp_path):
     assert (report_["rows"], report_["glued"], report_["wrong_prefix"]) == (5, 2, 0)
 
 
+def test_glued_records_do_not_depend_on_chunks(spark):
+    rng = random.Random(9)
+    rows = [(f"f{f}", i, ("S2-" if rng.random() < 0.3 else "") + f"x{i}") for f in range(3) for i in range(60)]
+    frame = spark.createDataFrame(rows, "file string, pos int, line string")
+    start = F.col("line").startswith("S2-")
+    whole = sorted(map(tuple, sources.glue_lines(frame, ["file"], "pos", start).collect()))
+    cut = sources.glue_lines(frame.repartition(5), ["file"], "pos", start, chunk=(F.col("pos") / 7).cast("int"))
+    assert whole and sorted(map(tuple, cut.collect())) == whole
+
+
+def test_broken_files_of_many_splits(spark, tmp_path):
+    lines = ["entity_id\tbusiness_name\tbusiness_address\tcountry"] + [f"S2-{i}\tName {i}\t{i} Road\nPune\tIndia" for i in range(400)]
+    (tmp_path / "big.tsv").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = sources.repair_file(spark, str(tmp_path / "big.tsv"), 2).orderBy("rec").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["entity_id"] for r in got] == [f"S2-{i}" for i in range(400)] and got[399]["business_address"] == "399 Road Pune"
+
+
 def test_truth_lists_and_validation(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S3-2\nS1-2\t\n")
     truth, entities = sources.read_truth(spark, str(tmp_path / "t.tsv"))
