@@ -3,7 +3,7 @@
 Every rolling k-gram of every document is joined to the places where it stands in license templates.  A match
 votes for a diagonal, document place minus template place: copies of a template lie on one diagonal, and a word
 put in or left out moves the rest of a copy to a neighbouring one.  Votes are summed by diagonal, neighbouring
-diagonals whose spans touch are merged, and a merged span is verified by the share of the template's words that
+diagonals whose spans touch are merged whatever stands between them, and a merged span is verified by the share of the template's words that
 it covers and the share of its own words that are covered.
 """
 
@@ -80,13 +80,22 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
     )
     # Bounded windows: a row is a diagonal of one label in one document.
     order = Window.partitionBy("doc_id", "label").orderBy("first", "diagonal")
-    reach = F.max(F.col("last")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("first") > reach + K + GAP_WORDS) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > NEAR_DIAGONALS), F.lit(True))
-    merged = votes.withColumn("fresh", fresh).withColumn("span", F.sum(F.col("fresh").cast("int")).over(order))
+    reach = lambda w: F.max(F.col("last")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = lambda w: F.col("first") > reach(w) + K + GAP_WORDS
+    far = lambda w: F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > NEAR_DIAGONALS
+    number = lambda fresh, w: F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w)
+    # Two groupings: rows that follow one another by place, and all rows of near diagonals whose words touch.  A template that
+    # repeats a k-gram puts a far diagonal between the halves of a copy; a stray k-gram beside a copy may spoil the larger span.
+    by_diagonal = Window.partitionBy("doc_id", "label").orderBy("diagonal")
+    in_cluster = Window.partitionBy("doc_id", "label", "cluster").orderBy("first", "diagonal")
+    grouped = votes.withColumn("fresh", apart(order) | far(order)).withColumn("next", number(F.col("fresh"), order)).withColumn("cluster", number(far(by_diagonal), by_diagonal))
+    grouped = grouped.withColumn("fresh", apart(in_cluster)).withColumn("touching", number(F.col("fresh"), in_cluster))
+    ways = F.array(F.struct(F.lit(-1).cast("long").alias("cluster"), F.col("next").alias("n")), F.struct("cluster", F.col("touching").alias("n")))
+    merged = grouped.select("doc_id", "label", "t_words", "first", "last", "t_at", "at", F.explode(ways).alias("span"))
     every = lambda c: F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list(c)), lambda p: F.sequence(p, p + K - 1)))))
     out = merged.groupBy("doc_id", "label", "t_words", "span").agg(F.min("first").alias("first_word"), (F.max("last") + K).alias("end_word"), every("t_at").alias("t_found"), every("at").alias("found"))
     coverage, density = F.col("t_found") / F.col("t_words"), F.col("found") / (F.col("end_word") - F.col("first_word"))
-    return out.select("doc_id", "label", "first_word", "end_word", coverage.alias("coverage"), density.alias("density"), ((coverage >= COVERED) & (density >= DENSE)).alias("verified"))
+    return out.select("doc_id", "label", "first_word", "end_word", coverage.alias("coverage"), density.alias("density"), ((coverage >= COVERED) & (density >= DENSE)).alias("verified")).distinct()
 
 
 def _phrase_at(w: Column, phrase: str, label: str) -> Column:

@@ -105,6 +105,20 @@ def test_neighbouring_diagonals_are_merged(docs):
     assert len(spans) == 1 and spans[0]["verified"] and spans[0]["first_word"] == 3
 
 
+def test_licenses_with_one_word_more_or_less_anywhere(docs, prose):
+    rows, want = [], {}
+    for label, text in licenses.TEMPLATES:
+        w = text.split()
+        if len(w) < 20:
+            continue
+        for i in range(len(w) + 1):
+            for changed in (w[:i] + ["zzz"] + w[i:], w[:i] + w[i + 1 :]):
+                want[len(rows)] = label
+                rows.append((len(rows), f"{prose(i, 30)} {' '.join(changed)} {prose(i + 500, 30)}"))
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(rows)).collect()}
+    assert {want[i] for i in want if want[i] not in found[i]} == set()
+
+
 def test_licenses_of_empty_tables_and_clashing_columns(docs):
     assert licenses.scan(docs([])).collect() == []
     frame = docs([(1, "mit license"), (1, "mit license")]).selectExpr("*", "'x' AS labels", "1 AS pos", "2 AS h")
