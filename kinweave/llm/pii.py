@@ -4,7 +4,7 @@ Seeds are what fixed expressions find: addresses, IP numbers, card numbers, phon
 seed are its lexical patterns.  Other identifier-like strings have such patterns too; together they form a
 graph of patterns and instances with an edge for each occurrence.  A pattern scores, for each kind, the share of
 its occurrences that belong to the kind's instances, discounted when it is rare; an instance scores the mean of
-its occurrences' patterns.  After ROUNDS of this, instances above ACCEPT are found, wherever they stand.
+its occurrences' patterns, or of the better word of each occurrence if that is more.  After ROUNDS of this, instances above ACCEPT are found, wherever they stand.
 
 The graph holds aggregated edges only; sums over a frequent pattern are combined on the map side.
 """
@@ -29,11 +29,12 @@ SEEDS = {
 #: What a text must have for a seed of the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-#: An identifier-like string: it begins and ends with a letter or digit and has five digits or an at sign.
-LEAST_DIGITS = 5
+#: An identifier-like string: groups of digits with single blanks between them, or what begins and ends with a letter or digit
+#: and has a digit or an at sign.  Context, not length, tells identifiers from other numbers.
+GROUP = r"(?:\([0-9]++\)|[0-9]++(?:-[0-9]++)*+)(?![@._:/#-]*+[A-Za-z0-9])"
 THING = (
-    rf"(?<![A-Za-z0-9])(?=(?:[A-Za-z@._:/#-]*+[0-9]){{{LEAST_DIGITS}}}|[A-Za-z0-9._:/#-]++@)"
-    r"[A-Za-z0-9](?:[A-Za-z0-9@._:/#-]*)(?<=[A-Za-z0-9])"
+    rf"(?<![A-Za-z0-9])(?:(?:\([0-9]++\)\x20?+|[0-9]++\x20){GROUP}(?:\x20{GROUP})*+"
+    r"|(?=[A-Za-z@._:/#-]*+[0-9]|[A-Za-z0-9._:/#-]++@)[A-Za-z0-9](?:[A-Za-z0-9@._:/#-]*)(?<=[A-Za-z0-9]))"
 )
 #: Rounds of scoring, the score from which an instance is found, and the occurrences by which a pattern's score is discounted.
 ROUNDS, ACCEPT, DISCOUNT = 3, 0.6, 4.0
@@ -120,18 +121,26 @@ def occurrences(docs: DataFrame) -> DataFrame:
 def discover(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, discount: float = DISCOUNT) -> DataFrame:
     """seen(rid, base, others) -> (rid, kind, start, end) of the instances found by context."""
     span = F.explode(F.concat("base", "others")).alias("s")
-    each = seen.where("base IS NOT NULL").select(span).select("s.kind", "s.value", F.explode(F.array("s.left", "s.right")).alias("pattern"))
+    each = seen.where("base IS NOT NULL").select(span).select("s.kind", "s.value", "s.left", "s.right")
     # A pattern without a word says nothing.
-    edges = materialise(each.where(F.length("pattern") > 2).groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")))
+    told = each.where((F.length("left") > 2) | (F.length("right") > 2)).groupBy("left", "right", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    told = materialise(told.select(F.monotonically_increasing_id().alias("oid"), "*"))
+    sides = told.select("oid", "value", "n", "kind", F.explode(F.array("left", "right")).alias("pattern")).where(F.length("pattern") > 2)
+    edges = materialise(sides.groupBy("pattern", "value").agg(F.sum("n").alias("n"), F.max("kind").alias("kind")))
     seeds = edges.where("kind IS NOT NULL").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    weight = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
+    weight = edges.groupBy("pattern").agg(F.sum("n").alias("all"), F.count("*").alias("values"))
+    unseen = told.where("kind IS NULL").select("oid", "value", "n", (F.length("left") > 2).cast("int").alias("l"), (F.length("right") > 2).cast("int").alias("r"))
+    total = unseen.groupBy("value").agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("l") + F.col("r"))).alias("sides"))
     scores = seeds
     for _ in range(rounds):
-        held = edges.select("pattern", "value", "n").join(scores, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("own"))
-        patterns = materialise(held.join(weight, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("own") / (F.col("all") + discount)).alias("p")))
-        total = edges.where("kind IS NULL").groupBy("value").agg(F.sum("n").alias("all"))
-        given = edges.where("kind IS NULL").select("pattern", "value", "n").join(patterns, "pattern").groupBy("value", "as").agg(F.sum(F.col("n") * F.col("p")).alias("own"))
-        grown = given.join(total, "value").select("value", F.col("as").alias("kind"), (F.col("own") / F.col("all")).alias("score")).join(seeds.select("value"), "value", "left_anti")
+        held = edges.select("pattern", "value", "n").join(scores, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("own"), F.sum("score").alias("each"))
+        # Alone, a pattern counts by distinct values, as copies of one document are no support, and only as a word: an
+        # identifier beside another does not tell its kind.
+        alone = F.when(~F.col("pattern").rlike("[0-9@]"), F.col("each") / (F.col("values") + discount)).otherwise(0.0)
+        patterns = materialise(held.join(weight, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("own") / (F.col("all") + discount)).alias("p"), alone.alias("alone")))
+        met = sides.where("kind IS NULL").join(patterns, "pattern").groupBy("oid", "value", "n", "as").agg(F.sum("p").alias("p"), F.max("alone").alias("alone"))
+        given = met.groupBy("value", "as").agg(F.sum(F.col("n") * F.col("p")).alias("mean"), F.sum(F.col("n") * F.greatest("alone", F.col("p") / 2)).alias("best"))
+        grown = given.join(total, "value").select("value", F.col("as").alias("kind"), F.greatest(F.col("mean") / F.col("sides"), F.col("best") / F.col("all")).alias("score")).join(seeds.select("value"), "value", "left_anti")
         new = materialise(seeds.unionByName(grown))
         if scores is not seeds:
             discard(scores)

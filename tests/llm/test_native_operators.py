@@ -224,6 +224,21 @@ def test_context_discovers_unseen_identifiers(docs):
     assert "5550-199-77" not in "".join(r["text"] for r in pii.redacted(docs(rows)).collect())
 
 
+def test_one_strong_pattern_discovers_identifiers_of_any_form(docs):
+    rows = [(i, f"please phone +1 555 010 {1000 + i} w{chr(97 + i % 26)}{chr(97 + i // 26)} on") for i in range(60)]
+    forms = ["5550-199-77", "555 123 4567", "(020) 7946-0958", "4417"]
+    rows += [(100 + i, f"please phone {x} rare{chr(97 + i)} then") for i, x in enumerate(forms)]
+    rows += [(200 + i, f"room {x} rest{chr(97 + i)} then") for i, x in enumerate(["8-199-77", "777 123 4567", "12"])]
+    # Copies are no support, and an identifier beside another does not tell its kind.
+    rows += [(400 + i, "ask joe a.b@c.de at once") for i in range(30)] + [(450, "ask joe 88-99-777 rarey then")]
+    rows += [(500 + i, f"u{chr(97 + i)} m{i}@c.de 10.0.0.{i} on") for i in range(26)] + [(550, "rarex 4417-99-55 10.0.1.1 on")]
+    # Most occurrences of this value stand beside other words.
+    rows += [(300, "please phone 2024 rarez then")] + [(301 + i, f"year 2024 was {chr(97 + i)}") for i in range(9)]
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in pii.find(docs(rows)).collect()}
+    assert [got[100 + i] for i in range(len(forms))] == [[("phone", 13, 13 + len(x))] for x in forms]
+    assert all(got[i] == [] for i in got if not 100 <= i < 200)
+
+
 def test_redaction_and_edges(docs):
     rows = [(1, "mail a@b.co or 10.0.0.1"), (2, None), (3, "+4111111111111111 x"), (4, "plain")]
     got = {r["doc_id"]: r["text"] for r in pii.redacted(docs(rows)).collect()}
