@@ -24,17 +24,27 @@ BROADCAST_IDS = 2_000_000
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays; repeated rows of it go too.
+    """Of each group of near copies one row stays: the one with the smallest doc_id, null being the largest, then the least text.
 
-    The ids that go are far fewer than those that stay, and the texts need no shuffle to meet them.
+    Rows of one doc_id, or without any, whose texts are no near copies all stay.  The ids that go are far fewer than
+    those that stay, and the texts need no shuffle to meet them.
     """
-    groups = materialise(simhash.near_groups(docs).select("doc_id", "component_id"))
+    groups = materialise(simhash.near_roots(docs))
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns)
+    unclear = materialise(groups.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id")))
+    if unclear.isEmpty():
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # An id that is null or met twice does not tell which row is meant: these rows are told apart by their fingerprints.
+    same = docs["doc_id"].eqNullSafe(unclear["__id"])
+    clear = docs.join(small(unclear), same, "left_anti").join(small(gone), "doc_id", "left_anti")
+    rows = materialise(docs.join(small(unclear), same, "left_semi").withColumn("__row", F.monotonically_increasing_id()))
+    prints = simhash.fingerprints(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "fp")
+    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), "fp", "root").distinct()
+    placed = rows.join(prints, "__row").join(first, "fp").where("doc_id <=> __id")
+    stays = placed.groupBy("root").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")], "__row")).alias("least"))
+    chosen = rows.join(stays.select(F.col("least.__row").alias("__row")), "__row", "left_semi")
+    return clear.select(*docs.columns).unionByName(chosen.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,12 +213,17 @@ def near_groups(docs: DataFrame, k: int = 3, budget: int = BUDGET) -> DataFrame:
     fingerprints that differ in at most `budget` bits, itself included.  Repeated rows give repeated rows;
     other columns are ignored; an empty table gives an empty result.
     """
+    out = near_roots(docs, k, budget)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_roots(docs: DataFrame, k: int = 3, budget: int = BUDGET) -> DataFrame:
+    """near_groups() with the fingerprint as a number, fp, and root, which tells components apart whatever their ids are."""
     fp = materialise(fingerprints(docs, k))
     groups = materialise(fp.groupBy("fp").agg(F.min("doc_id").alias("low")))
     near = components(links(groups.select("fp"), budget)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     # A component's fingerprints carry the least doc_id of all of them.
     member = groups.join(near, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    out = fp.join(named, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = member.join(least, "root").select("fp", "root", "component_id")
+    return fp.join(named, "fp").select("doc_id", "fp", "root", "component_id")

@@ -62,6 +62,15 @@ def test_stages_keep_the_columns_of_documents(spark, corpus):
         assert stage(spark, frame, root).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_duplicates_with_null_and_clashing_ids(spark, docs, prose):
+    a, b, c, d, e = (prose(i, 80) for i in range(40, 45))
+    rows = [(None, a), (None, b), (None, b), (None, c), (1, c), (5, d), (5, e), (5, e), (7, a), (2, prose(50, 80)), (9, d), (9, prose(51, 80))]
+    want = [(1, c), (2, prose(50, 80)), (5, d), (5, e), (7, a), (9, prose(51, 80)), (None, b)]
+    for frame in (docs(rows), docs(rows[::-1]).repartition(3)):
+        got = corpus_pipeline.near_duplicates(spark, frame, "").collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_on_an_empty_table(spark, docs, corpus, tmp_path):
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus[0]}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
