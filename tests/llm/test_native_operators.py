@@ -162,6 +162,28 @@ def test_budgets_entropy_and_repeats(docs):
     assert max(per.values()) == 1  # an epoch is a permutation
 
 
+@pytest.mark.parametrize("budget", [None, 8_500, 700])
+def test_every_weighted_source_is_drawn_to_its_budget(docs, budget):
+    rows = [(i, "w " * 1000, "en", "ab"[i // 4], 1) for i in range(8)] + [(100, "w " * 9000, "en", "c", 1)]
+    rows += [(200 + i, f"t{i} " * (3 + i % 40), "en", "d", 1) for i in range(600)] + [(None, "x y z", "en", "e", 1), (None, "u v", "en", "e", 1)]
+    frame = docs(rows)
+    mixed = mixing.mix(frame, budget)
+    got = {r["source"]: r for r in mixing.shares(frame, mixed).collect()}
+    per = frame.withColumn("tokens", mixing.tokens(frame["text"])).groupBy("source").sum("tokens").withColumnRenamed("sum(tokens)", "tokens").select("tokens")
+    row = mixing.exponent(per, budget, mixing.ENTROPY_SHARE, mixing.MAX_REPEATS).first()
+    for name, r in got.items():
+        target = (r["tokens"] / row["total"]) ** row["alpha"] / row["z"] * row["budget"]
+        longest = max(len(t.split()) for _, t, _, s, _ in rows if s == name)
+        assert target - 0.5 <= r["drawn"] < target + longest, name
+        assert r["drawn"] > 0 or target <= 0.5, name
+    if budget is None:
+        con = duckdb.connect()
+        con.register("documents", frame.toPandas().astype({"doc_id": "Int64"}))
+        want = [tuple(None if x != x else x for x in r) for r in con.sql(mixing.SQL).fetchall()]
+        key = lambda r: tuple(map(str, r))
+        assert sorted(map(tuple, mixed.select("doc_id", "source", "epoch", "block", "place").collect()), key=key) == sorted(want, key=key)
+
+
 def test_mixing_edges(docs):
     assert mixing.mix(docs([])).collect() == []
     assert mixing.mix(docs([(1, None), (2, "")])).collect() == []
