@@ -2,9 +2,11 @@
 
 Every rolling k-gram of every document is joined to the places where it stands in license templates.  A match
 votes for a diagonal, document place minus template place: copies of a template lie on one diagonal, and a word
-put in or left out moves the rest of a copy to a neighbouring one.  Votes are summed by diagonal, neighbouring
-diagonals whose spans touch are merged whatever stands between them, and a merged span is verified by the share of the template's words that
-it covers and the share of its own words that are covered.
+put in or left out moves the rest of a copy to a neighbouring one.  Votes are summed by diagonal; diagonals are
+clustered by nearness alone, and those of a cluster whose words touch are merged, whatever stands between them.
+Verification compares words: a vote counts where the k-gram's words themselves are the template's, a merged span must
+have COVERED of its template's words, and where spans of several templates lie over the same words, the one with
+most of its template's words owns them and the others go.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .native import ascii_words, let, shingle_hashes
+from .common import materialise
+from .native import ascii_words, let
 
 K = 3
 #: Diagonals at most so far apart are neighbours; words between spans at most, to merge them.
 NEAR_DIAGONALS, GAP_WORDS = 8, 12
-#: Least share of a template's words found in order, and of a span's own words that are the template's.
-COVERED, DENSE = 0.8, 0.7
+#: Least share of a template's words that a span has.
+COVERED = 0.8
 
 # The phrases of the base labels.
 PHRASES = {
@@ -64,38 +67,43 @@ TEMPLATES = [
 
 
 def template_grams(spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(label, t_words, t_pos, h): a few thousand rows at most, as the templates are fixed."""
+    """(label, t_words, t_pos, h, t_gram): a few thousand rows at most, as the templates are fixed."""
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text")) for a, b in templates]))
-    cut = spark.range(1).select(rows.alias("t")).select("t.label", let(ascii_words(F.col("t.text")), lambda w: F.struct(F.size(w).alias("n"), shingle_hashes(w, K).alias("h"))).alias("x"))
-    return cut.select("label", F.col("x.n").alias("t_words"), F.posexplode_outer("x.h").alias("t_pos", "h"))
+    cut = spark.range(1).select(rows.alias("t")).select("t.label", let(ascii_words(F.col("t.text")), lambda w: F.struct(F.size(w).alias("n"), _grams(w).alias("g"))).alias("x"))
+    return cut.select("label", F.col("x.n").alias("t_words"), F.posexplode("x.g").alias("t_pos", "g")).select("label", "t_words", "t_pos", "g.h", F.col("g.gram").alias("t_gram"))
+
+
+def _grams(words: Column) -> Column:
+    """(h, gram) of each place of a K-gram: its hash to join by, its words to compare."""
+    each = F.transform(words, lambda x, i: let(F.concat_ws(" ", x, *[F.get(words, i + j) for j in range(1, K)]), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram"))))
+    return F.slice(each, 1, F.greatest(F.size(words) - (K - 1), F.lit(0)))
 
 
 def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, label, first_word, end_word, coverage, density, verified): merged diagonals of each document."""
-    hashes = let(ascii_words(F.col("text")), lambda w: shingle_hashes(w, K))
-    grams = docs.select("doc_id", F.posexplode_outer(hashes).alias("pos", "h"))
-    met = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "h")
-    votes = met.groupBy("doc_id", "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
-        F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("t_pos").alias("t_at"), F.collect_set("pos").alias("at")
+    """(doc_id, mark, label, first_word, end_word, coverage, verified): merged diagonals; mark tells texts of one doc_id apart."""
+    grams = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode_outer(let(ascii_words(F.col("text")), _grams)).alias("pos", "g"))
+    found = grams.select("doc_id", "mark", "pos", "g.h", "g.gram").join(F.broadcast(template_grams(docs.sparkSession, templates)), "h").where("gram = t_gram")
+    text = ["doc_id", "mark"]
+    votes = found.groupBy(*text, "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set(F.struct("t_pos", "pos")).alias("at")
     )
-    # Bounded windows: a row is a diagonal of one label in one document.
-    order = Window.partitionBy("doc_id", "label").orderBy("first", "diagonal")
-    reach = lambda w: F.max(F.col("last")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = lambda w: F.col("first") > reach(w) + K + GAP_WORDS
-    far = lambda w: F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > NEAR_DIAGONALS
-    number = lambda fresh, w: F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(w)
-    # Two groupings: rows that follow one another by place, and all rows of near diagonals whose words touch.  A template that
-    # repeats a k-gram puts a far diagonal between the halves of a copy; a stray k-gram beside a copy may spoil the larger span.
-    by_diagonal = Window.partitionBy("doc_id", "label").orderBy("diagonal")
-    in_cluster = Window.partitionBy("doc_id", "label", "cluster").orderBy("first", "diagonal")
-    grouped = votes.withColumn("fresh", apart(order) | far(order)).withColumn("next", number(F.col("fresh"), order)).withColumn("cluster", number(far(by_diagonal), by_diagonal))
-    grouped = grouped.withColumn("fresh", apart(in_cluster)).withColumn("touching", number(F.col("fresh"), in_cluster))
-    ways = F.array(F.struct(F.lit(-1).cast("long").alias("cluster"), F.col("next").alias("n")), F.struct("cluster", F.col("touching").alias("n")))
-    merged = grouped.select("doc_id", "label", "t_words", "first", "last", "t_at", "at", F.explode(ways).alias("span"))
-    every = lambda c: F.size(F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list(c)), lambda p: F.sequence(p, p + K - 1)))))
-    out = merged.groupBy("doc_id", "label", "t_words", "span").agg(F.min("first").alias("first_word"), (F.max("last") + K).alias("end_word"), every("t_at").alias("t_found"), every("at").alias("found"))
-    coverage, density = F.col("t_found") / F.col("t_words"), F.col("found") / (F.col("end_word") - F.col("first_word"))
-    return out.select("doc_id", "label", "first_word", "end_word", coverage.alias("coverage"), density.alias("density"), ((coverage >= COVERED) & (density >= DENSE)).alias("verified")).distinct()
+    # Bounded windows: a row is a diagonal of one label in one text.
+    every = Window.unboundedPreceding
+    by_diagonal = Window.partitionBy(*text, "label").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEAR_DIAGONALS
+    near = votes.withColumn("far", far).withColumn("cluster", F.sum(F.coalesce("far", F.lit(True)).cast("int")).over(by_diagonal))
+    by_place = Window.partitionBy(*text, "label", "cluster").orderBy("first", "diagonal")
+    apart = F.col("first") > F.max("last").over(by_place.rowsBetween(every, -1)) + K + GAP_WORDS
+    joined = near.withColumn("apart", apart).withColumn("part", F.sum(F.coalesce("apart", F.lit(True)).cast("int")).over(by_place))
+    merged = joined.groupBy(*text, "label", "cluster", "part", "t_words").agg(F.min("first").alias("first_word"), (F.max("last") + K).alias("end_word"), F.flatten(F.collect_list("at")).alias("at"))
+    words = lambda name: F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x[name], x[name] + K - 1))))
+    sized = merged.withColumns({"t_found": F.size(words("t_pos")), "words": words("pos")}).withColumn("coverage", F.col("t_found") / F.col("t_words"))
+    sized = materialise(sized.drop("at").withColumn("sid", F.monotonically_increasing_id()))
+    # Of verified spans over a word, the one with most of its template's words owns it; a span stays if it owns most of its words.
+    best = Window.partitionBy(*text, "word").orderBy(F.desc("t_found"), F.desc("coverage"), "label", "cluster", "part")
+    owned = sized.where(F.col("coverage") >= COVERED).withColumn("word", F.explode("words")).withColumn("own", (F.row_number().over(best) == 1).cast("int"))
+    kept = owned.groupBy("sid").agg((2 * F.sum("own") > F.count("*")).alias("owns"))
+    return sized.join(kept, "sid", "left").select(*text, "label", "first_word", "end_word", "coverage", F.coalesce("owns", F.lit(False)).alias("verified"))
 
 
 def _phrase_at(w: Column, phrase: str, label: str) -> Column:
@@ -109,9 +117,9 @@ def _phrase_at(w: Column, phrase: str, label: str) -> Column:
 
 
 def phrase_places(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, and places: (start, label) of every phrase of the base labels."""
+    """doc_id, mark, n_words, and places: (start, label) of every phrase of the base labels."""
     found = let(ascii_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.concat(*[_phrase_at(w, *x) for x in PHRASES.items()]).alias("places")))
-    return docs.select("doc_id", found.alias("x")).select("doc_id", "x.n_words", "x.places")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), found.alias("x")).select("doc_id", "mark", "x.n_words", "x.places")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -119,13 +127,13 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Base labels come from exact phrases, further ones from verified template spans.  score: the best coverage of a
     template, 1 where a phrase stands, 0 without either.  Null or empty text: no words, no labels.  Texts shorter
-    than a k-gram have no spans.  Repeated rows of one doc_id share their spans; other columns are ignored; an empty
-    table gives an empty result.
+    than a k-gram have no spans.  Rows with one doc_id and different texts have labels of their own, repeated rows the
+    same ones; other columns are ignored; an empty table gives an empty result.
     """
     base = phrase_places(docs)
-    added = spans(docs).groupBy("doc_id").agg(F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("more"), F.max("coverage").alias("best"))
-    added = added.withColumnRenamed("doc_id", "__span_doc")
-    both = base.join(added, base["doc_id"].eqNullSafe(added["__span_doc"]), "left")
+    added = spans(docs).groupBy("doc_id", "mark").agg(F.collect_set(F.when(F.col("verified"), F.col("label"))).alias("more"), F.max("coverage").alias("best"))
+    added = added.withColumnsRenamed({"doc_id": "__span_doc", "mark": "__mark"})
+    both = base.join(added, base["doc_id"].eqNullSafe(added["__span_doc"]) & (base["mark"] == added["__mark"]), "left")
     own = F.array_distinct(F.transform("places", lambda p: p["label"]))
     n = F.size("places").cast("long")
     starts = F.transform("places", lambda p: p["start"].cast("long"))
@@ -153,19 +161,21 @@ def sql(templates: list[tuple[str, str]] = TEMPLATES) -> str:
     return f"""
 WITH d AS (SELECT doc_id, {words.format("text")} AS w FROM documents),
 tw AS (SELECT label, {words.format("text")} AS w FROM (VALUES {rows}) v(label, text)),
-t AS (SELECT label, len(w) AS t_words, i - 1 AS t_pos, w[i:i + {K - 1}] AS gram FROM (SELECT label, w, unnest(range(1, len(w) - {K - 2})) AS i FROM tw)),
+t AS (SELECT label, len(w) AS n, i - 1 AS tp, w[i:i + {K - 1}] AS gram FROM (SELECT label, w, unnest(range(1, len(w) - {K - 2})) AS i FROM tw)),
 g AS (SELECT doc_id, i - 1 AS pos, w[i:i + {K - 1}] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d)),
-m AS (SELECT doc_id, label, t_words, pos - t_pos AS diagonal, pos, t_pos FROM g JOIN t USING (gram)),
-v AS (SELECT doc_id, label, t_words, diagonal, min(pos) AS first, max(pos) AS last FROM m GROUP BY ALL),
-o AS (SELECT *, max(last) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, lag(diagonal) OVER q AS before FROM v WINDOW q AS (PARTITION BY doc_id, label ORDER BY first, diagonal)),
-f AS (SELECT *, CASE WHEN reach IS NULL OR first > reach + {K + GAP_WORDS} OR abs(diagonal - before) > {NEAR_DIAGONALS} THEN 1 ELSE 0 END AS fresh FROM o),
-s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, label ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS span FROM f),
-e AS (SELECT doc_id, label, span, min(first) AS a, max(last) + {K} AS b FROM s GROUP BY ALL),
-x AS (SELECT m.*, span FROM m JOIN s ON m.doc_id = s.doc_id AND m.label = s.label AND m.diagonal = s.diagonal),
-ct AS (SELECT doc_id, label, t_words, span, count(DISTINCT k) AS n FROM (SELECT doc_id, label, t_words, span, unnest(range(t_pos, t_pos + {K})) AS k FROM x) GROUP BY ALL),
-cd AS (SELECT doc_id, label, span, count(DISTINCT k) AS n FROM (SELECT doc_id, label, span, unnest(range(pos, pos + {K})) AS k FROM x) GROUP BY ALL),
-sp AS (SELECT ct.doc_id, ct.label, ct.n / t_words AS coverage, cd.n / (b - a) AS density FROM ct JOIN cd ON ct.doc_id = cd.doc_id AND ct.label = cd.label AND ct.span = cd.span JOIN e ON e.doc_id = ct.doc_id AND e.label = ct.label AND e.span = ct.span),
-added AS (SELECT doc_id, list(label) FILTER (coverage >= {COVERED} AND density >= {DENSE}) AS more, max(coverage) AS best FROM sp GROUP BY doc_id),
+vote AS (SELECT doc_id, label, n, pos, tp, pos - tp AS dg FROM g JOIN t USING (gram)),
+dgs AS (SELECT doc_id, label, dg, min(pos) AS lo, max(pos) AS hi FROM vote GROUP BY ALL),
+c1 AS (SELECT *, dg - lag(dg) OVER (PARTITION BY doc_id, label ORDER BY dg) AS gap FROM dgs),
+c2 AS (SELECT *, count(*) FILTER (coalesce(gap, 1000000) > {NEAR_DIAGONALS}) OVER (PARTITION BY doc_id, label ORDER BY dg) AS cl FROM c1),
+c3 AS (SELECT *, max(hi) OVER (PARTITION BY doc_id, label, cl ORDER BY lo, dg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c2),
+c4 AS (SELECT doc_id, label, dg, cl || '/' || sum(CASE WHEN reach IS NULL OR lo - reach > {K + GAP_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, label, cl ORDER BY lo, dg ROWS UNBOUNDED PRECEDING) AS sp FROM c3),
+hit AS (SELECT doc_id, label, sp, n, unnest([tp, tp + 1, tp + 2]) AS tp, unnest([pos, pos + 1, pos + 2]) AS pos FROM vote JOIN c4 USING (doc_id, label, dg)),
+cov AS (SELECT doc_id, label, sp, count(DISTINCT tp) AS k, count(DISTINCT tp) / any_value(n) AS cover FROM hit GROUP BY ALL),
+rival AS (SELECT DISTINCT h.doc_id, h.label, h.sp, h.pos, k, cover FROM hit h JOIN cov USING (doc_id, label, sp) WHERE cover >= {COVERED}),
+won AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY k DESC, cover DESC, label, CAST(split_part(sp, '/', 1) AS INT), CAST(split_part(sp, '/', 2) AS INT)) = 1 AS mine FROM rival),
+stay AS (SELECT doc_id, label FROM won GROUP BY doc_id, label, sp HAVING 2 * count(*) FILTER (mine) > count(*)),
+more AS (SELECT doc_id, list(DISTINCT label) AS more FROM stay GROUP BY doc_id),
+added AS (SELECT doc_id, best, more FROM (SELECT doc_id, max(cover) AS best FROM cov GROUP BY doc_id) LEFT JOIN more USING (doc_id)),
 at_ AS ({base}),
 b AS (SELECT doc_id, count(*) AS n, min(start) AS lo, max(start) AS hi, list(DISTINCT label) AS own FROM at_ GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,

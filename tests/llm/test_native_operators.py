@@ -119,6 +119,40 @@ def test_licenses_with_one_word_more_or_less_anywhere(docs, prose):
     assert {want[i] for i in want if want[i] not in found[i]} == set()
 
 
+def plain_cover(template, words):
+    """Share of the template's words in k-grams that stand in words at all: no span can have more."""
+    have = {tuple(words[i : i + licenses.K]) for i in range(len(words))}
+    at = [i for i in range(len(template) - licenses.K + 1) if tuple(template[i : i + licenses.K]) in have]
+    return len({i + j for i in at for j in range(licenses.K)}) / len(template)
+
+
+def test_each_template_keeps_its_label_alone_when_a_word_changes(docs, prose):
+    rows, want = [], {}
+    for label, text in licenses.TEMPLATES:
+        w = WORD.findall(ascii_lower(text))
+        for i in (0, len(w) // 3, 2 * len(w) // 3, len(w) - 1):
+            for changed in (w, w[:i] + ["zzz"] + w[i:], w[:i] + w[i + 1 :], w[:i] + ["zzz"] + w[i + 1 :]):
+                # Without its one word of difference the share-alike notice is the other one.
+                if plain_cover(w, changed) >= licenses.COVERED and ("sharealike" in changed) == ("sharealike" in w):
+                    want[len(rows)] = label
+                    rows.append((len(rows), f"{prose(i, 30)} {' '.join(changed)} {prose(i + 500, 30)}"))
+    assert {want[i] for i in want} == {label for label, _ in licenses.TEMPLATES}
+    found = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
+    wrong = [(rows[i][1], found[i]["labels"]) for i in want if set(found[i]["labels"].split(",")) - set(found[i]["base_labels"].split(",")) != {want[i]}]
+    assert wrong == []
+    con = duckdb.connect()
+    con.register("documents", docs(rows).toPandas())
+    assert sorted(con.sql(licenses.SQL).fetchall(), key=str) == sorted(map(tuple, found.values()), key=str)
+
+
+def test_notices_side_by_side_and_far_into_a_long_text(docs, prose):
+    t = dict(licenses.TEMPLATES)
+    rows = [(1, t["cc-by-4.0-notice"] + " " + t["cc-by-sa-4.0-notice"] + " " + t["mit-notice"]), (2, prose(1, 20_000) + " " + t["bsd-text"] + " " + prose(2, 5_000)), (3, (t["mit-text"] + " ") * 30)]
+    rows += [(4, t["isc-text"]), (4, prose(3, 60)), (None, t["isc-text"]), (None, prose(4, 9))]
+    got = sorted(((r["doc_id"], r["labels"]) for r in licenses.scan(docs(rows)).collect()), key=str)
+    assert got == sorted([(1, "cc-by-4.0-notice,cc-by-sa-4.0-notice,mit,mit-notice"), (2, "bsd-text"), (3, "mit-text"), (4, "isc-text"), (4, ""), (None, "isc-text"), (None, "")], key=str)
+
+
 def test_licenses_of_empty_tables_and_clashing_columns(docs):
     assert licenses.scan(docs([])).collect() == []
     frame = docs([(1, "mit license"), (1, "mit license")]).selectExpr("*", "'x' AS labels", "1 AS pos", "2 AS h")
