@@ -3,10 +3,13 @@
 Seeds are what fixed expressions find: addresses, IP numbers, card numbers, phone numbers.  The words beside a
 seed are its lexical patterns.  Other identifier-like strings have such patterns too; together they form a
 graph of patterns and instances with an edge for each occurrence.  A pattern scores, for each kind, the share of
-its occurrences that belong to the kind's instances, discounted when it is rare; an instance scores the mean of
-its occurrences' patterns, or of the better word of each occurrence if that is more.  After ROUNDS of this, instances above ACCEPT are found, wherever they stand.
+its occurrences that belong to the kind's instances, discounted when it is rare, and patterns below CONFIDENT are not
+used.  An instance scores the mean of its occurrences' patterns, or of the better word of each occurrence if that is
+more.  After ROUNDS of this, instances above ACCEPT are found, wherever they stand.
 
-The graph holds aggregated edges only; sums over a frequent pattern are combined on the map side.
+The graph holds aggregated edges only; sums over a frequent pattern are combined on the map side.  Work on one text
+grows little faster than its length, whatever runs of signs or numbers of spans it has: expressions try a run of
+characters once, positions come from sums in two levels, and no span is held against all others.
 """
 
 from __future__ import annotations
@@ -30,14 +33,17 @@ SEEDS = {
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: An identifier-like string: groups of digits with single blanks between them, or what begins and ends with a letter or digit
-#: and has a digit or an at sign.  Context, not length, tells identifiers from other numbers.
-GROUP = r"(?:\([0-9]++\)|[0-9]++(?:-[0-9]++)*+)(?![@._:/#-]*+[A-Za-z0-9])"
+#: and has a digit or an at sign.  Context, not length, tells identifiers from other numbers.  A run of characters is tried where it
+#: begins only; signs that it begins with are cut off later.
+SIGNS = "@._:/#-"
+GROUP = rf"(?:\([0-9]++\)|[0-9]++(?:-[0-9]++)*+)(?![{SIGNS}]*+[A-Za-z0-9])"
 THING = (
-    rf"(?<![A-Za-z0-9])(?:(?:\([0-9]++\)\x20?+|[0-9]++\x20){GROUP}(?:\x20{GROUP})*+"
-    r"|(?=[A-Za-z@._:/#-]*+[0-9]|[A-Za-z0-9._:/#-]++@)[A-Za-z0-9](?:[A-Za-z0-9@._:/#-]*)(?<=[A-Za-z0-9]))"
+    rf"(?<![A-Za-z0-9])(?:\([0-9]++\)\x20?+|[0-9]++\x20){GROUP}(?:\x20{GROUP})*+"
+    rf"|(?<![A-Za-z0-9{SIGNS}])[{SIGNS}]*+(?=[A-Za-z{SIGNS}]*+[0-9]|[A-Za-z0-9._:/#-]++@)[A-Za-z0-9][A-Za-z0-9{SIGNS}]*(?<=[A-Za-z0-9])"
 )
-#: Rounds of scoring, the score from which an instance is found, and the occurrences by which a pattern's score is discounted.
-ROUNDS, ACCEPT, DISCOUNT = 3, 0.6, 4.0
+#: Rounds of scoring, the score from which an instance is found, the score from which a pattern is used, and the occurrences
+#: by which a pattern's score is discounted.
+ROUNDS, ACCEPT, CONFIDENT, DISCOUNT = 3, 0.6, 0.25, 4.0
 KINDS = list(SEEDS)
 CONTEXT_CHARS = 32
 #: Documents with added spans that are broadcast at most; more are joined by a shuffle.
@@ -64,61 +70,91 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def running(values: Column, first: int, merge) -> Column:  # noqa: ANN001
+    """For each place of an array of numbers, merge() of all up to it; in two levels, as appending copies what there is."""
+
+    def walk(part: Column, begin: Column) -> Column:
+        return F.aggregate(part, F.array(begin), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    def each(v: Column) -> Column:
+        step = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"))
+        return let(step, lambda k: let(F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / k).cast("int")), lambda i: F.slice(v, i * k + 1, k)), blocks))
+
+    def blocks(parts: Column) -> Column:
+        starts = walk(F.transform(parts, lambda c: F.aggregate(c, F.lit(first), lambda a, x: merge(a, x))), F.lit(first))
+        return let(starts, lambda at: F.flatten(F.transform(parts, lambda c, i: F.slice(walk(c, at[i]), 2, F.size(c)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, each(v)).otherwise(F.array().cast("array<int>")))
+
+
 def places(text: Column, pattern: str, needs: str) -> Column:
-    """(start, end, value) of each match, in code points: the lengths of the matches and of what lies between."""
-    none = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"))), lambda x: F.lit(False))
+    """(start, end, value, before, after) of each match, in code points, with up to CONTEXT_CHARS characters on either side.
+
+    Positions are sums of the lengths of the matches and of what lies between; what lies beyond the next match is not looked at.
+    """
+    spot = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
     def walk(found: Column, between: Column) -> Column:
-        begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        sizes = F.transform(found, lambda m, i: F.length(m) + F.length(between[i]))
+        near = lambda x: F.coalesce(x, F.lit(""))
+        before = lambda i: F.right(F.concat(near(F.get(found, i - 1)), between[i]), F.lit(CONTEXT_CHARS))
+        after = lambda i: F.left(F.concat(between[i + 1], near(F.get(found, i + 1))), F.lit(CONTEXT_CHARS))
+        one = lambda m, i, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"), before(i).alias("before"), after(i).alias("after"))
+        return let(running(sizes, 0, lambda a, x: a + x), lambda ends: F.transform(found, lambda m, i: one(m, i, ends[i])))
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["b"])
-            return let(start, lambda s: F.struct((s + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), (s + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out")))
+    hit = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: let(F.split(text, pattern, -1), lambda b: walk(m, b)))
+    return F.when(text.rlike(needs), hit).otherwise(F.array().cast(spot))
 
-        pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-        return F.aggregate(pairs, begin, step, lambda acc: acc["out"])
 
-    hit = walk(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
-    return F.when(text.rlike(needs), hit).otherwise(none)
+def _marked(spans: Column, kind: Column) -> Column:
+    return F.transform(spans, lambda p: F.struct(kind.alias("kind"), *[p[c].alias(c) for c in ("start", "end", "value", "before", "after")]))
 
 
 def seed_spans(text: Column) -> Column:
-    """(kind, start, end, value) of the seeds, by kind as listed, then start."""
-    kinds = [_checked(text, k, rx) for k, rx in SEEDS.items()]
-    return F.concat(*kinds)
+    """(kind, start, end, value, before, after) of the seeds, by kind as listed, then start."""
+    checked = lambda kind, pattern: F.filter(places(text, pattern, NEEDS[kind]), lambda p: valid(kind, p["value"]))
+    return F.concat(*[_marked(checked(k, rx), F.lit(k)) for k, rx in SEEDS.items()])
 
 
-def _checked(text: Column, kind: str, pattern: str) -> Column:
-    passed = F.filter(places(text, pattern, NEEDS[kind]), lambda p: valid(kind, p["value"]))
-    return F.transform(passed, lambda p: F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+def _apart(things: Column, seeds: Column) -> Column:
+    """The things that overlap no seed: of seeds that start before a thing's end, the furthest end is not beyond its start."""
+    event = lambda at, seed, to, i: F.struct(at.alias("at"), F.lit(seed).alias("seed"), to.alias("to"), i.alias("i"))
+    events = F.array_sort(F.concat(F.transform(seeds, lambda s: event(s["start"], 1, s["end"], F.lit(-1))), F.transform(things, lambda p, i: event(p["end"], 0, p["start"], i))))
+
+    def walk(e: Column) -> Column:
+        reach = running(F.transform(e, lambda x: F.when(x["seed"] == 1, x["to"]).otherwise(-1)), -1, lambda a, x: F.greatest(a, x))
+        free = F.zip_with(e, reach, lambda x, r: F.when((x["seed"] == 0) & (r <= x["to"]), x["i"]))
+        return F.transform(F.filter(free, lambda i: i.isNotNull()), lambda i: things[i])
+
+    return F.when((F.size(seeds) == 0) | (F.size(things) == 0), things).otherwise(let(events, walk))
 
 
 def _things(text: Column, seeds: Column) -> Column:
     """Identifier-like strings outside the seeds, with a null kind."""
-    free = lambda p: ~F.exists(seeds, lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"]))
-    kept = F.filter(places(text, THING, "[0-9@]"), free)
-    return F.transform(kept, lambda p: F.struct(F.lit(None).cast("string").alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+    bare = lambda p: F.ltrim(p["value"], F.lit(SIGNS))
+    cut = F.transform(places(text, THING, "[0-9@]"), lambda p: let(bare(p), lambda v: F.struct((p["end"] - F.length(v)).alias("start"), p["end"].alias("end"), v.alias("value"), p["before"].alias("before"), p["after"].alias("after"))))
+    return let(cut, lambda t: _marked(_apart(t, seeds), F.lit(None).cast("string")))
 
 
-def _in_context(text: Column, spans: Column) -> Column:
+def _in_context(spans: Column) -> Column:
     """The spans with the words beside them: the lexical patterns."""
     plain = lambda s: F.regexp_replace(F.translate(s, UPPER, LOWER), "[0-9]+", "0")
-    left = lambda s: F.regexp_extract(F.substring(text, F.greatest(s["start"] - (CONTEXT_CHARS - 1), F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS))), r"(\S++)[\s\"'(<]*+$", 1)
-    right = lambda s: F.regexp_extract(F.substring(text, s["end"] + 1, CONTEXT_CHARS), r"^[\s\"')>,;]*+(\S+)", 1)
-    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), plain(s["value"]).alias("shape"), F.translate(s["value"], UPPER, LOWER).alias("value"), F.concat(F.lit("L "), plain(left(s))).alias("left"), F.concat(F.lit("R "), plain(right(s))).alias("right")))
+    left = lambda s: F.regexp_extract(s["before"], r"(\S++)[\s\"'(<]*+$", 1)
+    right = lambda s: F.regexp_extract(s["after"], r"^[\s\"')>,;]*+(\S+)", 1)
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.translate(s["value"], UPPER, LOWER).alias("value"), F.concat(F.lit("L "), plain(left(s))).alias("left"), F.concat(F.lit("R "), plain(right(s))).alias("right")))
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """docs' key, and base and others: seeds and other identifier-like strings with their patterns."""
     text = F.coalesce("text", F.lit(""))
-    both = lambda t: let(seed_spans(t), lambda s: F.struct(_in_context(t, s).alias("base"), _in_context(t, _things(t, s)).alias("others")))
+    both = lambda t: let(seed_spans(t), lambda s: F.struct(_in_context(s).alias("base"), _in_context(_things(t, s)).alias("others")))
     some = F.coalesce("text", F.lit("")).rlike("[0-9@]")
     # Texts without a digit or an at sign have neither.
     found = F.when(some, let(text, both))
     return docs.select("doc_id", F.xxhash64("text").alias("mark"), found.alias("x")).select(F.monotonically_increasing_id().alias("rid"), "doc_id", "mark", "x.base", "x.others")
 
 
-def discover(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, discount: float = DISCOUNT) -> DataFrame:
+def discover(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, discount: float = DISCOUNT, confident: float = CONFIDENT) -> DataFrame:
     """seen(rid, base, others) -> (rid, kind, start, end) of the instances found by context."""
     span = F.explode(F.concat("base", "others")).alias("s")
     each = seen.where("base IS NOT NULL").select(span).select("s.kind", "s.value", "s.left", "s.right")
@@ -137,7 +173,8 @@ def discover(seen: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, disc
         # Alone, a pattern counts by distinct values, as copies of one document are no support, and only as a word: an
         # identifier beside another does not tell its kind.
         alone = F.when(~F.col("pattern").rlike("[0-9@]"), F.col("each") / (F.col("values") + discount)).otherwise(0.0)
-        patterns = materialise(held.join(weight, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("own") / (F.col("all") + discount)).alias("p"), alone.alias("alone")))
+        scored = held.join(weight, "pattern").select("pattern", F.col("kind").alias("as"), (F.col("own") / (F.col("all") + discount)).alias("p"), alone.alias("alone"))
+        patterns = materialise(scored.where(F.greatest("p", "alone") >= confident))
         met = sides.where("kind IS NULL").join(patterns, "pattern").groupBy("oid", "value", "n", "as").agg(F.sum("p").alias("p"), F.max("alone").alias("alone"))
         given = met.groupBy("value", "as").agg(F.sum(F.col("n") * F.col("p")).alias("mean"), F.sum(F.col("n") * F.greatest("alone", F.col("p") / 2)).alias("best"))
         grown = given.join(total, "value").select("value", F.col("as").alias("kind"), F.greatest(F.col("mean") / F.col("sides"), F.col("best") / F.col("all")).alias("score")).join(seeds.select("value"), "value", "left_anti")
@@ -165,17 +202,28 @@ def find(docs: DataFrame) -> DataFrame:
     return seen.join(added, "rid", "left").select("doc_id", F.coalesce(base, none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
+#: Characters of a piece that a text is cut into for redaction; taking part of a string walks it from its beginning.
+PIECE = 4096
+
+
 def _cut(text: Column, spans: Column) -> Column:
     """text with each span, or group of overlapping ones, replaced by the first one's kind in brackets."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    size = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def between(parts: Column, a: Column, b: Column) -> Column:
+        piece = lambda c: let(F.greatest(a - c * PIECE, F.lit(0)), lambda x: F.substring(parts[c], x + 1, F.least(b - c * PIECE, F.lit(PIECE)) - x))
+        numbers = F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(numbers, piece), "")).otherwise("")
 
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    done = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    def walk(parts: Column, spans: Column, reach: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+        done = F.transform(spans, lambda s, i: let(before(i), lambda p: F.when(s["start"] >= p, F.concat(between(parts, p, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")))
+        return F.concat(F.array_join(done, ""), let(size, lambda n: between(parts, F.element_at(reach, -1), n)))
+
+    ends = lambda o: running(F.transform(o, lambda s: s["end"]), 0, lambda a, x: F.greatest(a, x))
+    done = let(by_start, lambda o: let(pieces, lambda parts: let(ends(o), lambda reach: walk(parts, o, reach))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 

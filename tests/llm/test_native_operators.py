@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -295,6 +297,109 @@ def test_one_strong_pattern_discovers_identifiers_of_any_form(docs):
     assert all(got[i] == [] for i in got if not 100 <= i < 200)
 
 
+LONG = {
+    "dashes": "a1 " + "-" * 1_000_000,
+    "dots": "." * 1_000_000 + "1",
+    "letters and dashes": "a-" * 500_000,
+    "digits and blanks": "1 " * 300_000,
+    "addresses": " ".join(f"name{i}@host{i % 7}.org" for i in range(50_000)),
+    "numbers": " ".join(f"no. {i}-{i}x" for i in range(40_000)),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts_take_time_in_proportion(docs, name):
+    text = LONG[name]
+    frame = docs([(1, text)])
+    began = time.monotonic()
+    row = pii.digest(pii.find(frame)).first()
+    want = base_spans(text) if name in ("addresses", "numbers") else []
+    assert row["base_sha256"] == hashlib.sha256(",".join("%s:%d:%d" % s for s in want).encode()).hexdigest()
+    if name == "addresses":
+        assert pii.redacted(frame).first()["text"] == " ".join(["[EMAIL]"] * 50_000)
+    assert time.monotonic() - began < 60  # of which starting jobs is the greater part
+
+
+def plain_things(text):
+    """Identifier-like strings outside the base spans: (start, end)."""
+    taken = [(a, b) for _, a, b in base_spans(text)]
+    out = []
+    for m in re.finditer(pii.THING, text):
+        a = m.end() - len(m.group().lstrip(pii.SIGNS))
+        if not any(a < y and x < m.end() for x, y in taken):
+            out.append((a, m.end()))
+    return out
+
+
+def plain_discovery(rows):
+    """doc_id -> added spans, by loops over occurrences."""
+    seen = []
+    plain = lambda w: re.sub("[0-9]+", "0", ascii_lower(w))
+    for i, text in rows:
+        for kind, a, b in [*base_spans(text), *((None, *x) for x in plain_things(text))]:
+            left = re.search(r"(\S+)[\s\"'(<]*$", text[max(0, a - 32) : a])
+            right = re.search(r"^[\s\"')>,;]*(\S+)", text[b : b + 32])
+            seen.append((i, kind, a, b, ascii_lower(text[a:b]), "L " + plain(left.group(1) if left else ""), "R " + plain(right.group(1) if right else "")))
+    edges, kind_of, told = Counter(), {}, []
+    for _, kind, _, _, value, *sides in seen:
+        sides = [x for x in sides if len(x) > 2]
+        if sides:
+            told.append((kind, value, sides))
+        for x in sides:
+            edges[x, value] += 1
+            if kind:
+                kind_of.setdefault(value, set()).add(kind)
+    scores = {(v, k): 1.0 for v, ks in kind_of.items() for k in ks}
+    for _ in range(pii.ROUNDS):
+        patterns = {}
+        for x in {e[0] for e in edges}:
+            own = [(v, n) for (y, v), n in edges.items() if y == x]
+            for k in pii.KINDS:
+                share = sum(n * scores.get((v, k), 0) for v, n in own) / (sum(n for _, n in own) + pii.DISCOUNT)
+                alone = 0.0 if re.search("[0-9@]", x) else sum(scores.get((v, k), 0) for v, _ in own) / (len(own) + pii.DISCOUNT)
+                if max(share, alone) >= pii.CONFIDENT:
+                    patterns[x, k] = share, alone
+        new = {(v, k): 1.0 for v, ks in kind_of.items() for k in ks}
+        for v in {v for kind, v, _ in told if kind is None} - set(kind_of):
+            mine = [sides for kind, w, sides in told if w == v and kind is None]
+            for k in pii.KINDS:
+                got = [[patterns.get((x, k), (0.0, 0.0)) for x in sides] for sides in mine]
+                mean = sum(p for g in got for p, _ in g) / sum(map(len, got))
+                best = sum(max(max(a for _, a in g), sum(p for p, _ in g) / 2) for g in got) / len(got)
+                new[v, k] = max(mean, best)
+        scores = new
+    found = defaultdict(list)
+    for i, kind, a, b, value, *_ in seen:
+        if kind is None and value not in kind_of:
+            score, k = max((scores.get((value, k), 0), k) for k in pii.KINDS)
+            if score >= pii.ACCEPT:
+                found[i].append((k, a, b))
+    return found
+
+
+def test_added_spans_match_brute_force(docs):
+    rng = random.Random(5)
+    lead = {"phone": ["call", "phone", "ring"], "email": ["mail", "write"], "card": ["card"], "ip": ["host"]}
+    make = {
+        "phone": lambda: f"+1 555 {rng.randint(100, 999)} {rng.randint(1000, 9999)}",
+        "email": lambda: f"u{rng.randint(0, 400)}@h{rng.randint(0, 9)}.org",
+        "card": lambda: "4111 1111 1111 1111",
+        "ip": lambda: f"10.{rng.randint(0, 9)}.0.{rng.randint(1, 250)}",
+    }
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(list(lead))
+            thing = make[kind]() if rng.random() < 0.7 else rng.choice(["555-0199", "user7@local", "x9-22", "77 1234", f"no.{rng.randint(1, 99)}"])
+            parts += [rng.choice(words), rng.choice(lead[kind] + words[:2] * (rng.random() < 0.2)), thing, rng.choice(words), rng.choice(words)]
+        rows.append((i, " ".join(parts)))
+    want = plain_discovery(rows)
+    got = {r["doc_id"]: sorted(map(tuple, r["added"])) for r in pii.find(docs(rows)).collect() if r["added"]}
+    assert got == {i: sorted(x) for i, x in want.items()} and len(got) > 20
+
+
 def test_redaction_and_edges(docs):
     rows = [(1, "mail a@b.co or 10.0.0.1"), (2, None), (3, "+4111111111111111 x"), (4, "plain")]
     got = {r["doc_id"]: r["text"] for r in pii.redacted(docs(rows)).collect()}
