@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,8 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="kinweave-")
         spark.sparkContext.setCheckpointDir(found)
@@ -35,14 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[DataFrame] = []
 
 
+def written() -> int:
+    """A mark for sweep(): how many intermediate tables have been written so far."""
+    return len(_written)
+
+
+def sweep(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the intermediate tables written since a mark, but for `keep`.
+
+    For long sessions: call it when the results that read them have been taken.
+    """
+    for df in _written[since:]:
+        if df is not keep:
+            discard(df)
+    _written[since:] = [df for df in _written[since:] if df is keep]
+
+
 @atexit.register
-def _sweep() -> None:
+def _sweep_at_exit() -> None:
     """Tables still there when the driver's program ends go; results that read them have been taken by then."""
-    for df in _written:
-        try:
-            discard(df)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            return
+    try:
+        sweep()
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        return
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -86,6 +103,30 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(lambda batches: fn(trimmed(batches)), schema)
 
 
+def fit_rows(rows: DataFrame, label: str, wanted: dict, sizes: dict, total_bytes: int) -> list[tuple[bytes, object]]:
+    """Sorted (text, label) pairs to fit on, the same ones whatever the partitions: bounded by rows and bytes of each label.
+
+    rows has doc_id, text and the label.  sizes: how many rows a label has; wanted: how many of them to take, about.  Rows
+    are drawn by a hash of id and text; equal texts of a label count once.  A label gets an equal share of total_bytes;
+    texts of more than a quarter of that are left out, and so is what its share can't hold, in hash order.  Whole
+    texts are taken or none of them.
+    """
+    share = F.lit(0.0)
+    for value, n in sizes.items():
+        share = F.when(F.col(label) == value, min(1.0, wanted[value] / max(n, 1))).otherwise(share)
+    room = total_bytes // max(len(sizes), 1)
+    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    drawn = rows.where((F.octet_length("text") <= room // 4) & (draw < share)).select("text", label).distinct()
+    order = Window.partitionBy(label).orderBy(F.xxhash64("text"), "text")
+    upto = F.sum(F.octet_length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # The draw leaves about `wanted` rows of a label; the window cuts what chance leaves beyond.
+    most = F.lit(0)
+    for value in sizes:
+        most = F.when(F.col(label) == value, wanted[value] + wanted[value] // 4 + 16).otherwise(most)
+    kept = drawn.withColumns({"upto": upto, "rn": F.row_number().over(order)}).where((F.col("upto") <= room) & (F.col("rn") <= most))
+    return sorted((r["text"].encode(), r[label]) for r in kept.select("text", label).toLocalIterator())
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id written as text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import svm
-from .common import crc_mod, map_arrow
+from .common import crc_mod, fit_rows, map_arrow
 from .wordhash import mix
 
-#: Labelled rows that the machines are fitted on at most, and of one language.
-FIT_ROWS, FIT_ROWS_EACH = 3_200, 800
-#: Of a longer text, fitting takes the n-grams too; nothing is cut.
+#: Labelled rows that the machines are fitted on, about, and of one language; bytes of their texts at most (a language has
+#: an equal share of them, and a text may take a quarter of that; longer ones are not fitted on); languages, the most
+#: frequent ones.  They bound the driver's memory and the model: 32 kB a machine.
+FIT_ROWS, FIT_ROWS_EACH, FIT_BYTES, LANGUAGES = 3_200, 800, 64 << 20, 200
 GRAMS, HASH_BITS = (2, 3, 4), 13
 STEP_BYTES = 1 << 19
 UNKNOWN = "und"
@@ -165,16 +166,11 @@ def predict(model: Model, texts: list[bytes]) -> tuple[list[str], list[float]]:
 
 
 def fit_sample(docs: DataFrame, held_out: int = 5, rows: int = FIT_ROWS, each: int = FIT_ROWS_EACH) -> Model:
-    """A model from at most about `rows` rows with text and lang, of those not held out."""
+    """A model from about `rows` rows with text and lang at most, of those not held out; the same for any partitions."""
     own = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), held_out) != 0))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
-    quota = min(each, max(1, rows // max(len(counts), 1)))
-    share = F.lit(0.0)
-    for code, n in counts.items():
-        share = F.when(F.col("lang") == code, quota / n).otherwise(share)
-    chosen = own.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    got = [(r["text"].encode(), r["lang"]) for r in chosen.select("text", "lang").limit(rows + rows // 4).toLocalIterator()]
-    got = [(t, c) for t, c in got if letters(t)]
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    quota = min(each, max(1, rows // max(len(sizes), 1)))
+    got = [(t, c) for t, c in fit_rows(own, "lang", dict.fromkeys(sizes, quota), sizes, FIT_BYTES) if letters(t)]
     return fit([t for t, _ in got], [c for _, c in got])
 
 

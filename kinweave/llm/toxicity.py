@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_arrow, raw_texts
+from .common import crc_mod, fit_rows, map_arrow, raw_texts
 
-#: Labelled rows of either class, and unlabelled rows, that are fitted on at most.
-TOXIC_ROWS, CLEAN_ROWS, PLAIN_ROWS = 1_200, 2_400, 600
+#: Labelled rows of either class, and unlabelled rows, that are fitted on, about; bytes of their texts at most (a third for
+#: each of the three, and a text may take a quarter of that; longer ones are not fitted on).
+TOXIC_ROWS, CLEAN_ROWS, PLAIN_ROWS, FIT_BYTES = 1_200, 2_400, 600, 96 << 20
 #: Terms at most; toxic texts that a term must be in, by level, as chance seldom repeats a word; the least share of
 #: toxic ones among texts with it, smoothed.
 TERMS, LEAST_TEXTS, LEAST_SHARE = 1_500, {"1": 6, "2": 3, "3": 3}, 0.75
@@ -171,18 +172,22 @@ def fit(texts: list[bytes], known: list[int], clean_weight: float = 1.0) -> dict
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, held_out: int = 4) -> dict:
-    """A model from bounded samples of labelled and unlabelled rows, none with crc32(doc_id) mod held_out = 2."""
+    """A model from bounded samples of labelled and unlabelled rows, none with crc32(doc_id) mod held_out = 2.
+
+    The same for any partitions.  Of several labels of one doc_id the toxic one counts.
+    """
     open_ = docs.where(F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), held_out) != 2)).select("doc_id", "text")
-    marked = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), held_out) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marked = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), held_out) != 2)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    share = F.when(F.col("toxic") == 1, TOXIC_ROWS / max(many.get(1, 0), 1)).otherwise(CLEAN_ROWS / max(many.get(0, 0), 1))
-    chosen = marked.where(draw < share)
-    got = open_.join(F.broadcast(chosen), "doc_id").select("text", "toxic").limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
-    plain = open_.where(draw < PLAIN_ROWS / max(open_.count(), 1)).select("text", F.lit(-1).alias("toxic")).limit(2 * PLAIN_ROWS)
-    rows = [(r["text"].encode(), int(r["toxic"])) for part in (got, plain) for r in part.toLocalIterator()]
-    rows.sort()  # the order of arrival must not matter
-    thinned = [min(1.0, most / max(many.get(k, 0), 1)) for k, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    wanted = {1: TOXIC_ROWS, 0: CLEAN_ROWS, -1: PLAIN_ROWS}
+    # Labels are thinned before the join, by twice the share that the rows are thinned by after it.
+    draw = F.pmod(F.xxhash64(F.lit("label"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    least = {k: min(1.0, 2 * wanted[k] / max(many.get(k, 0), 1)) for k in (0, 1)}
+    chosen = marked.where(draw < F.when(F.col("toxic") == 1, least[1]).otherwise(least[0]))
+    known = fit_rows(open_.join(F.broadcast(chosen), "doc_id"), "toxic", wanted, {k: many.get(k, 0) * least[k] for k in (0, 1)}, FIT_BYTES * 2 // 3)
+    plain = fit_rows(open_.withColumn("toxic", F.lit(-1)), "toxic", wanted, {-1: open_.count()}, FIT_BYTES // 3)
+    rows = sorted(known + plain)
+    thinned = [min(1.0, wanted[k] / max(many.get(k, 0), 1)) for k in (1, 0)]
     return fit([t for t, _ in rows], [k for _, k in rows], thinned[0] / thinned[1])
 
 

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from kinweave.llm import languages, quality, svm, toxicity
+from kinweave.llm import common, languages, quality, svm, toxicity
 
 SOUNDS = {"en": ("the", "ing", "ou"), "de": ("sch", "ung", "ei"), "fr": ("eau", "que", "oi"), "es": ("cion", "ado", "que"), "xx": ("zz", "yy", "ww")}
 
@@ -49,6 +49,29 @@ def test_prediction_ignores_lang_source_and_batch(docs, tongues):
     assert together[1] == pytest.approx([a[1][0] for a in alone], abs=1e-6)
 
 
+def test_fitting_is_the_same_for_any_partitions(spark, docs, tongues, marked, monkeypatch):
+    monkeypatch.setattr(languages, "FIT_ROWS", 200)
+    bad, labels, _ = marked
+    tags = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    for frame, other in ((docs(tongues), docs(bad)), (docs(tongues[::-1]).repartition(7), docs(bad[::-1]).repartition(5, "text")), (docs(tongues).repartition(2, "text"), docs(bad).coalesce(1))):
+        model = languages.fit_sample(frame, rows=200)
+        tox = toxicity.fit_sample(other, tags)
+        seen.append((languages.predict(model, [t.encode() for _, t, *_ in tongues[:50]]), tox["names"], tox["weights"]))
+    assert seen[0] == seen[1] == seen[2] and seen[0][1]
+
+
+def test_fit_rows_are_bounded_in_rows_and_bytes_and_never_cut(docs):
+    rows = [(i, f"t{i} " * (1 + i % 50), "a" if i % 3 else "b") for i in range(2000)] + [(5000, "long " * 5_000, "a")] + [(6000, "same text", "b")] * 500
+    full = docs([(i, t, k, "s", 0) for i, t, k in rows])
+    got = common.fit_rows(full, "lang", {"a": 300, "b": 300}, {"a": 1334, "b": 1167}, 40_000)
+    texts = {t.encode() for _, t, _ in rows}
+    for label in "ab":
+        mine = [t for t, k in got if k == label]
+        assert 20 < len(mine) <= 391 and sum(map(len, mine)) <= 20_000 and len(set(mine)) == len(mine) and set(mine) <= texts
+    assert not any(t.startswith(b"long") for t, _ in got)
+
+
 def test_svm_separates():
     import numpy as np
 
