@@ -6,8 +6,10 @@ blocks on top, and all close pairs meet below one top node of some rotation.  Be
 traversed together, bit by bit; a pair is dropped when its differing bits exceed the budget.  Each top
 node yields a spanning forest of its links, never all pairs.
 
-A top node with more than NODE_ROWS fingerprints is split: the next bits cut it into child nodes and
-slices, and every pair of cuts that may hold a link is a task of its own.
+A top node with more than NODE_ROWS fingerprints is descended into: the bits not yet agreed on are cut into four, and
+two fingerprints with at most three differing bits agree on one of the four.  So the node becomes four rotations
+of the tries below it, each with that block on top too, and their nodes are descended into again while they are too
+large, DEPTH times at most: then 18 bits are left at most, and no node can have more than 2**18 fingerprints.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from .common import map_arrow, materialise, raw_texts
 from .components import components
 
 BITS, BUDGET, SEED = 64, 3, 42
-#: Rows of one top node that a task takes at once.
-NODE_ROWS = 512
-#: Node pairs that a traversal step expands at once.
-FRONTIER = 1 << 20
+#: Fingerprints of one top node that are joined without descending, and how often nodes are descended into.
+NODE_ROWS, DEPTH = 4_096, 3
+#: Node pairs that a traversal step expands at once, and links that are held before they become a forest.
+FRONTIER, HELD_LINKS = 1 << 20, 1 << 21
 CUTS = (0, 13, 26, 39, 52, 64)
 _M64 = (1 << 64) - 1
 _SPAN = [((1 << (b - a)) - 1) << (64 - b) for a, b in zip(CUTS, CUTS[1:])]
@@ -36,6 +38,13 @@ _SPAN = [((1 << (b - a)) - 1) << (64 - b) for a, b in zip(CUTS, CUTS[1:])]
 TOPS = [_SPAN[a] | _SPAN[b] for a, b in combinations(range(5), 2)]
 
 
+def below(mask: int) -> list[int]:
+    """mask with each quarter of the bits that it lacks, highest bits first."""
+    free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
+    cut = [len(free) * i // 4 for i in range(5)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cut, cut[1:])]
+
+
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
     """XXH64 of each k-word shingle of one text, repeats included."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space separates
@@ -80,11 +89,10 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int) -> tuple[np.nda
     """Index pairs of a spanning forest of the links between keys under the same root.
 
     keys: uint64, sorted within each root; roots: sorted ids.  A node is a range [lo, hi) of keys with
-    equal leading bits.  All node pairs of a depth are expanded together; a pair of ranges that both
-    are one component already, or that cannot differ in more bits, is not expanded.
+    equal leading bits.  All node pairs of a depth are expanded together; a pair whose differing bits exceed the
+    budget is not expanded.  Links become a forest whenever HELD_LINKS of them have been found.
     """
     n = len(keys)
-    label = np.arange(n)
     first = np.flatnonzero(np.concatenate(([True], roots[1:] != roots[:-1])))
     last = np.append(first[1:], n)
     big = last - first > 1
@@ -101,6 +109,8 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int) -> tuple[np.nda
             a, b = alo[leaf], blo[leaf]
             near = (a < b) & (np.bitwise_count(keys[a] ^ keys[b]) <= budget)
             linked.append((a[near], b[near]))
+            if sum(len(x) for x, _ in linked) > HELD_LINKS:
+                linked = [_forest(n, np.concatenate([x for x, _ in linked]), np.concatenate([x for _, x in linked]))]
             rest = ~leaf
             alo, ahi, blo, bhi, diff = (x[rest] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo) or depth == BITS:
@@ -116,7 +126,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, budget: int) -> tuple[np.nda
         keep = (got[0] < got[1]) & (got[2] < got[3]) & ~((got[0] == got[2]) & (got[1] - got[0] == 1))
         stack.append((depth + 1, *(x[keep] for x in got)))
     if not linked:
-        return label[:0], label[:0]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return _forest(n, np.concatenate([x for x, _ in linked]), np.concatenate([x for _, x in linked]))
 
 
@@ -151,17 +161,17 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _join_sorted(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rot, top, part, fp) sorted by all four -> links (u, v) of fingerprints."""
+    """Rows (rot, top, fp) sorted by all three -> links (u, v) of fingerprints."""
     held: list[np.ndarray] = []
     rows = 0
 
     def flush(x: np.ndarray) -> pa.RecordBatch:
-        fresh = np.concatenate(([True], (x[:3, 1:] != x[:3, :-1]).any(axis=0)))
-        fp = x[3].view(np.uint64)
+        fresh = np.concatenate(([True], (x[:2, 1:] != x[:2, :-1]).any(axis=0)))
+        fp = x[2].view(np.uint64)
         root = np.cumsum(fresh)
         order = np.lexsort((fp, root))  # unsigned order within a root
         a, b = trie_links(fp[order], root, budget)
-        out = x[3][order]
+        out = x[2][order]
         return pa.record_batch([pa.array(out[a]), pa.array(out[b])], names=["u", "v"])
 
     for batch in batches:
@@ -170,7 +180,7 @@ def _join_sorted(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
         rows += x.shape[1]
         if rows >= 1 << 17:
             x = np.concatenate(held, axis=1)
-            fresh = np.flatnonzero((x[:3, 1:] != x[:3, :-1]).any(axis=0)) + 1
+            fresh = np.flatnonzero((x[:2, 1:] != x[:2, :-1]).any(axis=0)) + 1
             cut = fresh[-1] if len(fresh) else 0
             if cut:
                 yield flush(x[:, :cut])
@@ -180,24 +190,41 @@ def _join_sorted(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
         yield flush(np.concatenate(held, axis=1))
 
 
+def nodes(fps: DataFrame, node_rows: int = NODE_ROWS) -> DataFrame:
+    """(rot, top, fp): the fingerprints of every node to be joined; rot numbers the bits that top has.
+
+    A fingerprint has ten rows, or four more for each of its nodes that is descended into.
+    """
+    masks, out = TOPS, None
+    under = lambda m: F.struct(F.lit(m[0]).alias("rot"), F.col("fp").bitwiseAND(F.lit(_signed(m[1]))).alias("top"))
+    rows = fps.select("fp", F.explode(F.array(*map(under, enumerate(masks)))).alias("x")).select("x.rot", "x.top", "fp")
+    for depth in range(DEPTH + 1):
+        size = materialise(rows.groupBy("rot", "top").agg(F.count("*").alias("n")).where("n > 1"))
+        hot = size.where(F.col("n") > node_rows)
+        last = depth == DEPTH or hot.isEmpty()
+        ready = rows.join(size if last else size.where(F.col("n") <= node_rows), ["rot", "top"], "left_semi").select("rot", "top", "fp")
+        out = ready if out is None else out.unionByName(ready)
+        if last:
+            return out
+        # A hot node's rows go on under each quarter of their free bits; numbers of rotations grow fourfold by depth.
+        quarters = [below(m) for m in masks]
+        first = sum(10 * 4**d for d in range(depth + 1))
+        within = F.array(*[F.array(*[F.lit(_signed(q)) for q in four]) for four in quarters])
+        base = F.col("rot") - F.lit(first - len(masks))
+        inner = F.transform(F.get(within, base), lambda m, i: F.struct((F.lit(first) + base * 4 + i).alias("rot"), F.col("fp").bitwiseAND(m).alias("top")))
+        rows = materialise(rows.join(hot, ["rot", "top"], "left_semi").select("fp", F.explode(inner).alias("x")).select("x.rot", "x.top", "fp"))
+        masks = [q for four in quarters for q in four]
+    raise AssertionError("unreachable")
+
+
 def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Distinct fingerprints (fp long) -> links (u, v) that connect what lies within `budget` bits.
 
-    budget is 3 at most: five blocks then leave two that agree.
+    budget is 3 at most: five blocks then leave two that agree, and four blocks one.
     """
     if not 0 <= budget <= 3:
         raise ValueError("five blocks serve a budget of 0 to 3 bits")
-    tops = F.array(*[F.struct(F.lit(i).alias("rot"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("top")) for i, m in enumerate(TOPS)])
-    rows = fps.select("fp", F.explode(tops).alias("x")).select("x.rot", "x.top", "fp")
-    size = rows.groupBy("rot", "top").agg(F.count("*").alias("n")).where("n > 1")
-    sized = rows.join(size, ["rot", "top"])
-    # More than node_rows: k slices by a hash, and a task for each pair of slices.  A slice meets every slice, itself too.
-    k = F.when(F.col("n") <= node_rows, F.lit(1)).otherwise(F.ceil(2 * F.col("n") / node_rows).cast("int"))
-    slice_ = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.least(j, F.col("s")) * F.col("k") + F.greatest(j, F.col("s")))
-    parts = sized.withColumn("k", k).withColumn("s", slice_).select("rot", "top", F.explode(F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(pair)).alias("part"), "fp")
-    parts = parts.withColumn("part", F.col("part").cast("long"))
-    dealt = parts.repartition("rot", "top", "part").sortWithinPartitions("rot", "top", "part", "fp")
+    dealt = nodes(fps, node_rows).repartition("rot", "top").sortWithinPartitions("rot", "top", "fp")
     return map_arrow(dealt, lambda it: _join_sorted(it, budget), "u long, v long")
 
 

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 import xxhash
@@ -73,6 +75,35 @@ def test_hot_nodes_are_split_without_losing_links(spark, docs, prose):
     assert whole == split and whole
 
 
+def test_a_dense_top_node_is_descended_into(spark):
+    rng = np.random.default_rng(7)
+    # 20,000 fingerprints that share 40 bits, and so a top node of each rotation: half in a cluster of a dozen free bits.
+    free = np.concatenate([rng.integers(0, 1 << 24, 16_000), rng.integers(0, 1 << 12, 4_000) << 12])
+    keys = np.unique(free.astype(np.uint64) | np.uint64(0xABCDE12345 << 24))
+    frame = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    placed = simhash.nodes(frame)
+    assert placed.count() < 50 * len(keys)
+    got = dict(map(tuple, components.components(simhash.links(frame)).collect()))
+    at = {int(k): i for i, k in enumerate(keys)}
+    flips = [sum(1 << b for b in c) for r in (1, 2, 3) for c in combinations(range(24), r)]
+    pairs = [(i, at[o]) for i, k in enumerate(keys.tolist()) for f in flips if (o := k ^ f) in at and o < k]
+    signed = keys.view(np.int64)
+    want = classes(len(keys), pairs)
+    groups = {}
+    for i, root in enumerate(want):
+        groups.setdefault(root, []).append(int(signed[i]))
+    assert got == {k: min(g) for g in groups.values() if len(g) > 1 for k in g}
+
+
+def test_quarters_cover_the_free_bits_once():
+    for mask in simhash.TOPS:
+        for _ in range(simhash.DEPTH):
+            four = simhash.below(mask)
+            assert sum(q & ~mask for q in four) == ((1 << 64) - 1) & ~mask and all(q & mask == mask for q in four)
+            mask = min(four, key=int.bit_count)
+        assert 64 - mask.bit_count() <= 18
+
+
 def test_empty_table_repeated_rows_and_other_columns(spark, docs):
     assert simhash.near_groups(docs([])).collect() == []
     twice = docs([(5, "a b c d", None, None, None), (5, "a b c d", None, None, None)]).selectExpr("*", "1 AS fp", "2 AS component_id")
