@@ -20,6 +20,8 @@ from .native import ascii_words, let
 K = 3
 #: Diagonals at most so far apart are neighbours; words between spans at most, to merge them.
 NEAR_DIAGONALS, GAP_WORDS = 8, 12
+#: Longs of the bitmap of template hashes, a power of two: 64 kB.
+MAP_WORDS = 1024
 #: Least share of a template's words that a span has.
 COVERED = 0.8
 
@@ -70,19 +72,41 @@ def template_grams(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
     """(label, t_words, t_pos, h, t_gram): a few thousand rows at most, as the templates are fixed."""
     rows = F.explode(F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("text")) for a, b in templates]))
     cut = spark.range(1).select(rows.alias("t")).select("t.label", let(ascii_words(F.col("t.text")), lambda w: F.struct(F.size(w).alias("n"), _grams(w).alias("g"))).alias("x"))
-    return cut.select("label", F.col("x.n").alias("t_words"), F.posexplode("x.g").alias("t_pos", "g")).select("label", "t_words", "t_pos", "g.h", F.col("g.gram").alias("t_gram"))
+    return cut.select("label", F.col("x.n").alias("t_words"), F.explode("x.g").alias("g")).select("label", "t_words", F.col("g.pos").alias("t_pos"), "g.h", F.col("g.gram").alias("t_gram"))
 
 
-def _grams(words: Column) -> Column:
-    """(h, gram) of each place of a K-gram: its hash to join by, its words to compare."""
-    each = F.transform(words, lambda x, i: let(F.concat_ws(" ", x, *[F.get(words, i + j) for j in range(1, K)]), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("gram"))))
+def _hashes(words: Column) -> Column:
+    """(pos, h) of each place of a K-gram."""
+    each = F.transform(words, lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x, *[F.get(words, i + j) for j in range(1, K)]).alias("h")))
     return F.slice(each, 1, F.greatest(F.size(words) - (K - 1), F.lit(0)))
 
 
+def _grams(words: Column, known: Column | None = None) -> Column:
+    """(pos, h, gram) of each place of a K-gram: its hash to join by, its words to compare.
+
+    known: a bitmap of the templates' hashes, as an array of longs.  What it lacks can't join and becomes no row.
+    """
+    found = _hashes(words)
+    if known is not None:
+        found = F.filter(found, lambda g: F.call_function("getbit", known[F.shiftrightunsigned(g["h"], 6).bitwiseAND(MAP_WORDS - 1).cast("int")], g["h"].bitwiseAND(63).cast("int")) == 1)
+    return F.transform(found, lambda g: F.struct(g["pos"].alias("pos"), g["h"].alias("h"), F.array_join(F.slice(words, g["pos"] + 1, K), " ").alias("gram")))
+
+
+def bitmap(grams: DataFrame) -> list[int]:
+    """MAP_WORDS longs with a bit for each h of the templates."""
+    out = [0] * MAP_WORDS
+    for (h,) in grams.select("h").collect():
+        out[(h >> 6) & (MAP_WORDS - 1)] |= 1 << (h & 63)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
 def spans(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, mark, label, first_word, end_word, coverage, verified): merged diagonals; mark tells texts of one doc_id apart."""
-    grams = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode_outer(let(ascii_words(F.col("text")), _grams)).alias("pos", "g"))
-    found = grams.select("doc_id", "mark", "pos", "g.h", "g.gram").join(F.broadcast(template_grams(docs.sparkSession, templates)), "h").where("gram = t_gram")
+    places = template_grams(docs.sparkSession, templates)
+    known = F.lit(bitmap(places)).cast("array<bigint>")
+    # The outer form, as the inner one gets a filter into which the optimizer copies all that is below.
+    grams = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.explode_outer(let(ascii_words(F.col("text")), lambda w: _grams(w, known))).alias("g"))
+    found = grams.select("doc_id", "mark", "g.pos", "g.h", "g.gram").join(F.broadcast(places), "h").where("gram = t_gram")
     text = ["doc_id", "mark"]
     votes = found.groupBy(*text, "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set(F.struct("t_pos", "pos")).alias("at")
