@@ -127,6 +127,20 @@ def fit_rows(rows: DataFrame, label: str, wanted: dict, sizes: dict, total_bytes
     return sorted((r["text"].encode(), r[label]) for r in kept.select("text", label).toLocalIterator())
 
 
+#: Bytes that a shuffled partition should have.
+PART_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, size: int, *columns: str) -> DataFrame:
+    """df by columns, in partitions of about PART_BYTES, size being its bytes; in the session's number if that is more.
+
+    The session's number is merged to fewer partitions at run time where there is little; a number of our own is not.
+    """
+    parts = size // PART_BYTES
+    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*columns) if few else df.repartition(int(parts), *columns)
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id written as text, modulo k."""
     return F.crc32(doc_id.cast("string").cast("binary")) % k

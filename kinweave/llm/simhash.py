@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise, raw_texts
+from .common import map_arrow, materialise, raw_texts, spread
 from .components import components
 
 BITS, BUDGET, SEED = 64, 3, 42
@@ -224,7 +224,7 @@ def links(fps: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> D
     """
     if not 0 <= budget <= 3:
         raise ValueError("five blocks serve a budget of 0 to 3 bits")
-    dealt = nodes(fps, node_rows).repartition("rot", "top").sortWithinPartitions("rot", "top", "fp")
+    dealt = spread(nodes(fps, node_rows), 10 * 20 * fps.count(), "rot", "top").sortWithinPartitions("rot", "top", "fp")
     return map_arrow(dealt, lambda it: _join_sorted(it, budget), "u long, v long")
 
 

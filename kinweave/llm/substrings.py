@@ -7,9 +7,13 @@ below the count of a window with it, and the sketch never estimates too little.
 
 Pass 2 groups exactly the windows whose estimate is two or more, by 96-bit hashes, and marks all but the
 first of each.  A block of texts sends only its own first occurrence of a window; later ones in the block are
-known to be repeats at once.  So a passage in very many texts costs one entry a block.
+known to be repeats at once.  So a passage in very many texts costs one entry a block, and the task that gets
+them all keeps the first of each window only, whenever HELD_BYTES have come in.
 
 Entries travel packed: a row is all that one block has for one shard.
+
+The merged sketch has a fixed size, as it is broadcast.  It spares pass 2 most windows up to some tens of gigabytes of
+text; with more, its cells fill up and all windows travel: 12 bytes a word, and the same result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, map_arrow, raw_texts
+from .common import PART_BYTES, blocks, buffers, map_arrow, raw_texts, spread
 from .wordhash import SPAN_BASES, prefix_hash, word_hashes
 
 #: Cells of a sketch row are a power of two; this many powers at least and at most.  Two rows of bits are
@@ -34,6 +38,8 @@ ROWS = 2
 SHARD_BYTES, LEAST_SHARDS = 8 << 20, 64
 #: Bytes of text hashed at once, candidate windows to a block, anchors to a partition sketch.
 STEP_BYTES, BLOCK_WINDOWS, SKETCH_ANCHORS = 1 << 19, 1 << 19, 1 << 20
+#: Bytes of a shard's entries that are held before repeats among them are sent on.
+HELD_BYTES = 32 << 20
 RUN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("n", "<i4"), ("bucket", "<i4")])
 WINDOW = np.dtype([("h", "<u8"), ("g", "<u4")])
 
@@ -121,7 +127,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch(docs: DataFrame, size: int, power: int) -> np.ndarray:
     """Bits of the merged sketch, row after row: set where a cell counts two or more."""
     parts = map_arrow(docs.select("text"), lambda it: _sketch(it, size, power), "segment long, packed binary")
-    merged = map_arrow(parts.repartition("segment").sortWithinPartitions("segment"), _merge, "segment long, bits binary")
+    dealt = spread(parts, (ROWS << power) // (1 << SEGMENT) * PART_BYTES, "segment")
+    merged = map_arrow(dealt.sortWithinPartitions("segment"), _merge, "segment long, bits binary")
     bits = np.zeros((ROWS << power) // 8, np.uint8)
     width = (1 << SEGMENT) // 8
     for segment, packed in merged.toLocalIterator():
@@ -221,22 +228,33 @@ def not_first(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return out
 
 
+def _unpack(held: list[bytes]) -> tuple[np.ndarray, ...]:
+    """hash parts, document, place and bucket of each window in packed entries."""
+    runs, windows = [], []
+    for packed in held:
+        k = int(np.frombuffer(packed, "<i8", 1)[0])
+        runs.append(np.frombuffer(packed, RUN, k, 8))
+        windows.append(np.frombuffer(packed, WINDOW, -1, 8 + k * RUN.itemsize))
+    run, window = np.concatenate(runs), np.concatenate(windows)
+    doc, bucket = np.repeat(run["doc"], run["n"]), np.repeat(run["bucket"], run["n"])
+    return window["h"], window["g"], doc, np.repeat(run["start"], run["n"]) + _within(run["n"]).astype(np.int32), bucket
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (kind, key): a shard's windows -> runs of repeats for buckets; kind 1 passes through."""
-    now, held = None, []
-
-    def out() -> pa.RecordBatch:
-        runs, windows = [], []
-        for packed in held:
-            k = int(np.frombuffer(packed, "<i8", 1)[0])
-            runs.append(np.frombuffer(packed, RUN, k, 8))
-            windows.append(np.frombuffer(packed, WINDOW, -1, 8 + k * RUN.itemsize))
-        run, window = np.concatenate(runs), np.concatenate(windows)
-        doc, bucket = np.repeat(run["doc"], run["n"]), np.repeat(run["bucket"], run["n"])
-        at = np.repeat(run["start"], run["n"]) + _within(run["n"]).astype(np.int32)
-        later = not_first(window["h"], window["g"], doc, at)
+    now, held, size, first = None, [], 0, None
+
+    def settle() -> pa.RecordBatch:
+        """The repeats among the first windows so far and what is held; the first ones stay."""
+        nonlocal first, size
+        new = _unpack(held)
+        h, g, doc, at, bucket = (np.concatenate(x) for x in zip(first, new)) if first else new
+        later = not_first(h, g, doc, at)
         order = np.lexsort((at[later], doc[later]))
         known = to_runs(*(x[later][order] for x in (doc, at, bucket)))
+        first = tuple(x[~later] for x in (h, g, doc, at, bucket))
+        held.clear()
+        size = 0
         return _deal(1, known["bucket"], known)
 
     for batch in batches:
@@ -245,15 +263,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind:
                 through.append((key, packed))
                 continue
-            if key != now and held:
-                yield out()
-                held.clear()
+            if key != now:
+                if held:
+                    yield settle()
+                first = None
             now = key
             held.append(packed)
+            size += len(packed)
+            if size >= HELD_BYTES:
+                yield settle()
         if through:
             yield pa.record_batch([pa.array([1] * len(through), pa.int32()), pa.array([k for k, _ in through], pa.int64()), pa.array([p for _, p in through], pa.binary())], names=["kind", "key", "packed"])
     if held:
-        yield out()
+        yield settle()
 
 
 def _apply(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -306,13 +328,13 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     held = own.sparkSession.sparkContext.broadcast(sketch(own, size, power))
     own = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("bucket"), "doc_id", "text")
     entries = map_arrow(own, lambda it: _candidates(it, size, power, held.value, shards), "kind int, key long, packed binary")
-    dealt = entries.repartition("kind", "key").sortWithinPartitions("kind", "key")
+    dealt = spread(entries, total, "kind", "key").sortWithinPartitions("kind", "key")
     runs = map_arrow(dealt, _resolve, "kind int, key long, packed binary")
     none = F.lit(None)
     both = own.select("bucket", F.lit(True).alias("is_doc"), "doc_id", "text", none.cast("binary").alias("packed")).unionByName(
         runs.select(F.col("key").cast("int").alias("bucket"), F.lit(False).alias("is_doc"), none.cast("long").alias("doc_id"), none.cast("string").alias("text"), "packed")
     )
-    met = both.repartition("bucket").sortWithinPartitions("bucket", "is_doc")
+    met = spread(both, 2 * total, "bucket").sortWithinPartitions("bucket", "is_doc")
     return map_arrow(met, lambda it: _apply(it, size), "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 

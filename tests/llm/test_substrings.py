@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from kinweave.llm import substrings
+from kinweave.llm import common, substrings
 
 
 def brute(rows, size=20):
@@ -40,6 +40,14 @@ def test_small_steps_and_blocks_change_nothing(docs, prose, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK_WINDOWS", 50)
     monkeypatch.setattr(substrings, "SKETCH_ANCHORS", 40)
     assert run(docs(rows)) == brute(rows)
+    monkeypatch.setattr(substrings, "HELD_BYTES", 300)
+    assert run(docs(rows)) == brute(rows)
+
+
+def test_shuffles_get_partitions_by_size(spark, docs, monkeypatch):
+    frame = docs([(1, "a b")])
+    assert "REPARTITION_BY_NUM" not in str(common.spread(frame, 0, "doc_id")._jdf.queryExecution().optimizedPlan())
+    assert common.spread(frame, 100 * common.PART_BYTES, "doc_id").rdd.getNumPartitions() == 100
 
 
 def test_a_full_sketch_only_costs_time(docs, prose, monkeypatch):
