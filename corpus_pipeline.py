@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import contamination, languages, mixing, pii, simhash
-from kinweave.llm.common import materialise, table
+from kinweave.llm.common import discard, materialise, sweep, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null text, no letter) go; the others get the predicted one as lang."""
+    """Documents without a language (null text, no letter) go; the others get the predicted one as lang.
+
+    Rows with null lang are predicted like others.  Without any labelled row no language can be told: no document stays.
+    Repeated rows are told alike; columns that clash with the operator's are kept as they are; an empty table stays empty.
+    """
     found = languages.identify(docs, languages.fit_sample(docs))
     return found.where(F.col("lang_pred") != languages.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
@@ -27,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near copies one row stays: the one with the smallest doc_id, null being the largest, then the least text.
 
     Rows of one doc_id, or without any, whose texts are no near copies all stay.  The ids that go are far fewer than
-    those that stay, and the texts need no shuffle to meet them.
+    those that stay, and the texts need no shuffle to meet them.  Null, empty and blank texts are near copies of one another;
+    other columns keep their values; an empty table stays empty.
     """
     groups = materialise(simhash.near_roots(docs))
     small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -48,18 +53,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go.
+
+    Null or empty text has no window and stays.  Items without words, and an empty benchmark, are in no document.
+    Repeated rows stay or go together, each row by its own text; columns keep their values; an empty table stays empty.
+    """
     found = contamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
     return found.where("leak.n_hit = 0").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets; n_chars follows the text."""
+    """Personal data gives way to its kind in brackets; n_chars follows the text.
+
+    No row goes.  Null text stays null, and its n_chars becomes null; rows of one doc_id are changed each by its own text;
+    other columns keep their values, whatever their names; an empty table stays empty.
+    """
     return pii.redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each time that a document is drawn, with its epoch, block and place."""
+    """The mixture: a row for each time that a document is drawn, with its epoch, block and place.
+
+    Null source is a source of its own.  A source without any token has no weight and is left out; every other one has
+    rows.  Repeated rows of a doc_id are drawn together; columns named epoch, block or place are replaced; an empty table
+    gives an empty result.
+    """
     return mixing.mix(docs)
 
 
@@ -76,9 +94,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in order, each over what the one before it wrote; what a stage wrote on its way goes when it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
+        mark = written()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs)
+            sweep(mark, keep=docs)
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
