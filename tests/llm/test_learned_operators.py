@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from kinweave.llm import common, languages, quality, svm, toxicity
@@ -73,8 +75,6 @@ def test_fit_rows_are_bounded_in_rows_and_bytes_and_never_cut(docs):
 
 
 def test_svm_separates():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x = np.hstack([rng.normal(size=(200, 2)), np.ones((200, 1))]).astype(np.float32)
     y = np.where(x[:, 0] + x[:, 1] > 0.1, 1, -1)
@@ -121,8 +121,6 @@ def test_toxicity_edges(spark, docs, marked):
 
 
 def test_label_model_divides_the_evidence_of_copied_voters():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     y = rng.random(2000) < 0.3
     vote = lambda a, b: np.where(y, rng.random(2000) < a, rng.random(2000) < b)
@@ -161,6 +159,37 @@ def test_quality_counts_and_verdicts(docs, prose):
     assert all(got[i]["kept"] for i in range(120)) and not got[500]["kept"] and not got[501]["kept"] and got[606]["kept"]
 
 
+def test_estimates_are_the_least_determinants_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    p, groups = len(quality.NAMES), {}
+    mixed = rng.normal(size=(p, p)) * 0.05
+    for g in range(4):
+        x = rng.normal(size=(12, p)) @ mixed + g
+        x[:3] += rng.normal(size=(3, p)) + 2  # as many outliers as an estimate can bear
+        groups[f"g{g}"] = x
+    groups["same"] = np.tile([1.0, 0, 0, 0, 0.5, 0], (12, 1))
+    rows = [(g, *map(float, r), 0.001, 0.002, 0.003) for g, x in groups.items() for r in x]
+    frame = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{c} double" for c in quality._VECTOR))
+    noise = np.diag([{"words": 0.001, "lines": 0.002, "letters": 0.003}[quality.PER[c]] * quality.AT_ONCE[c] for c in quality.NAMES])
+    for r in quality.estimates(frame).collect():
+        x = groups[r["grp"]]
+        sets = [x[list(c)] for c in combinations(range(12), 9)]
+        best = min(sets, key=lambda y: np.linalg.slogdet(np.cov(y.T, bias=True) + noise)[1])
+        w = np.zeros((p, p))
+        w[np.tril_indices(p)] = r["w"]
+        assert r["center"] == pytest.approx(best.mean(axis=0), abs=1e-9)
+        assert np.linalg.inv(w.T @ w) == pytest.approx(np.cov(best.T, bias=True) + noise, abs=1e-9)
+        assert r["scale"] >= 1 and r["cut"] >= quality.LEVEL_CHI2
+
+
+def test_repeated_words_of_any_text():
+    rng = random.Random(4)
+    for n in [*range(0, 12), 50, 300]:
+        for k in (1, 2, 4, 30):
+            words = [f"w{rng.randrange(k)}".encode() for _ in range(n)]
+            assert quality.repeated_words(words) == plain_counts(b" ".join(words).decode())[4]
+
+
 def test_quality_edges(docs, prose):
     assert quality.judge(docs([])).collect() == []
     frame = docs([(1, prose(1, 60)), (2, "short")]).selectExpr("*", "1 AS kept", "2 AS grp", "3 AS symbols")
