@@ -24,10 +24,21 @@ class Settings:
     neg_keep: float = 1.0
     mine_abbrev_min_count: int = 25
     use_context: bool = True
+    #: Boosted trees of either stage.
+    trees: int = 800
+    depth: int = 7
+    step: float = 0.04
+    min_rows: int = 40
+    row_share: float = 0.8
+    feature_share: float = 0.8
 
     def to_dict(self) -> dict:
         return asdict(self)
 
+    def tree_options(self) -> dict:
+        """Keyword arguments of learning.fit_trees."""
+        return {k: getattr(self, k) for k in ("trees", "depth", "step", "min_rows", "row_share", "feature_share", "seed")}
+
     def block_limits(self, n_records: int) -> tuple[float, float]:
         """Key limits grow with the corpus, four times at most."""
         scale = min(max(1.0, n_records / self.ref_records), 4.0) if self.ref_records else 1.0

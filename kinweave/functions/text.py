@@ -149,3 +149,13 @@ def digits_only(s: Column) -> Column:
 def logit(p: Column) -> Column:
     q = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     return F.log(q / (1 - q))
+
+
+def first_field(line: Column) -> Column:
+    """What stands before the first tab, trimmed."""
+    return F.trim(F.split_part(line, F.lit("\t"), F.lit(1)))
+
+
+def percent(share: Column) -> Column:
+    """A share as a percentage with two decimals, six places wide before the sign."""
+    return F.concat(F.lpad(F.format_string("%.2f", 100 * share.cast("double")), 6, " "), F.lit("%"))

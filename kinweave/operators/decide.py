@@ -19,6 +19,11 @@ class Rule:
     single_owner: bool = False
 
 
+def rule_of(row) -> Rule:  # noqa: ANN001
+    """The rule of a row of search_rules()."""
+    return Rule(**{k: row[k] for k in Rule.__dataclass_fields__})
+
+
 # The parameters that are searched.
 THRESHOLDS = (0.3, 0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.88, 0.9, 0.92, 0.94, 0.96, 0.98)
 MISSES = (0.0, 0.05, 0.15, 0.3)

@@ -18,6 +18,11 @@ ENTITY_CONTEXT = ["ctx_rank_es", "ctx_gap_es", "ctx_n_es", "ctx_margin_es", "ctx
 TARGET_CONTEXT = ["ctx_rank_rev", "ctx_gap_rev", "ctx_n_rev", "ctx_margin_rev"]
 
 
+def sample_rows(df: DataFrame, n: int, column: str, seed: int = 42) -> DataFrame:
+    """Exactly n rows of df, or all if there are fewer: those whose ids hash least, the same ones in any partitions."""
+    return df.orderBy(F.xxhash64(F.lit(seed), column), column).limit(n)
+
+
 def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """pairs with y: 1 if (s1_id, tgt_id) is true."""
     y = truth.select("s1_id", "tgt_id").distinct().withColumn("y", F.lit(1))
@@ -46,10 +51,10 @@ def imputed(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumns(filled | missing), [*filled, *missing]
 
 
-def fit_trees(df: DataFrame, features: list[str], trees: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42) -> PipelineModel:
+def fit_trees(df: DataFrame, features: list[str], trees: int = 20, depth: int = 5, step: float = 0.1, min_rows: int = 1, row_share: float = 1.0, feature_share: float = 1.0, seed: int = 42) -> PipelineModel:
     ready, columns = imputed(df, features)
-    stages = [VectorAssembler(inputCols=columns, outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed)]
-    return Pipeline(stages=stages).fit(ready.withColumn("y", F.col("y").cast("double")))
+    boosted = GBTClassifier(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=min_rows, subsamplingRate=row_share, featureSubsetStrategy=str(feature_share) if feature_share < 1 else "all", seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="x"), boosted]).fit(ready.withColumn("y", F.col("y").cast("double")))
 
 
 def score_trees(model: PipelineModel, df: DataFrame, features: list[str], name: str = "p") -> DataFrame:
@@ -64,19 +69,20 @@ def importance(model: PipelineModel, features: list[str]) -> dict[str, float]:
     return {c: float(values[i] + values[n + i]) for i, c in enumerate(features)}
 
 
-def fit_two_stages(pairs: DataFrame, features: list[str], settings: Settings, reverse: bool = False, **trees) -> tuple[PipelineModel, PipelineModel, list[str]]:
+def fit_two_stages(pairs: DataFrame, features: list[str], settings: Settings, reverse: bool = False) -> tuple[PipelineModel, PipelineModel, list[str]]:
     """Stage 1 on pair features; stage 2 adds context of out-of-fold stage-1 scores, folds by query record."""
+    trees = settings.tree_options()
     marked = pairs.withColumn("fold", fold("s1_id", settings.n_folds, settings.seed))
     if settings.neg_keep < 1:
         keep = F.pmod(F.xxhash64("s1_id", "src", "tgt_id"), F.lit(10_000)) < settings.neg_keep * 10_000
         marked = marked.where((F.col("y") == 1) | keep)
-    parts = [score_trees(fit_trees(marked.where(F.col("fold") != k), features, seed=settings.seed, **trees), marked.where(F.col("fold") == k), features) for k in range(settings.n_folds)]
+    parts = [score_trees(fit_trees(marked.where(F.col("fold") != k), features, **trees), marked.where(F.col("fold") == k), features) for k in range(settings.n_folds)]
     held = parts[0]
     for p in parts[1:]:
         held = held.unionByName(p)
     more = features + ENTITY_CONTEXT + (TARGET_CONTEXT if reverse else [])
-    second = fit_trees(context_features(held, reverse), more, seed=settings.seed, **trees)
-    return fit_trees(marked, features, seed=settings.seed, **trees), second, more
+    second = fit_trees(context_features(held, reverse), more, **trees)
+    return fit_trees(marked, features, **trees), second, more
 
 
 def score_two_stages(first: PipelineModel, second: PipelineModel, pairs: DataFrame, features: list[str], more: list[str]) -> DataFrame:

@@ -112,3 +112,51 @@ def shared_share(records: DataFrame, segment: str, key: str) -> DataFrame:
     return records.where(F.col(key) != "").withColumn("n", n).groupBy(segment).agg(F.avg((F.col("n") > 1).cast("double")).alias("shared"))
 
 
+
+
+def top_values(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """(column, cnt): value counts, the most frequent first, then by value."""
+    counts = df.groupBy(column).agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), column)
+    return counts.limit(n) if n else counts
+
+
+def pair_rows(pairs: DataFrame, records: DataFrame, fields: list[str]) -> DataFrame:
+    """pairs(s1_id, tgt_id, ...) with fields of both records, as s1_<field> and tgt_<field>."""
+    side = lambda where, key, mark: records.where(where).select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{mark}_{c}") for c in fields])
+    return pairs.join(side("src = 1", "s1_id", "s1"), "s1_id", "left").join(side("src > 1", "tgt_id", "tgt"), "tgt_id", "left")
+
+
+def error_rows(decided: DataFrame, truth: DataFrame, buckets: DataFrame, records: DataFrame, per_bucket: int) -> DataFrame:
+    """Wrong and missed pairs of the worst `per_bucket` query records of each loss bucket, both sides next to each other."""
+    worst = stratified(buckets.where("bucket IS NOT NULL"), "bucket", per_bucket, F.desc("loss"), "s1_id").select("s1_id", "bucket", "country")
+    y = truth.select("s1_id", "tgt_id").distinct().withColumn("y", F.lit(True))
+    both = decided.select("s1_id", "tgt_id", "p", "keep").join(y, ["s1_id", "tgt_id"], "full").withColumns({"keep": F.coalesce("keep", F.lit(False)), "y": F.coalesce("y", F.lit(False))})
+    wrong = both.where(F.col("keep") != F.col("y")).withColumn("error", F.when(F.col("keep"), "WRONG_PICK").otherwise("MISSED"))
+    shown = pair_rows(wrong.join(worst, "s1_id"), records, ["business_name", "business_address"])
+    return shown.select("bucket", "country", "s1_id", "s1_business_name", "s1_business_address", "error", "tgt_id", "tgt_business_name", "tgt_business_address", F.round("p", 3).alias("p")).orderBy("bucket", "s1_id", "tgt_id")
+
+
+def blocking_report(truth: DataFrame, pairs: DataFrame, cleaned: DataFrame, scored_misses: DataFrame, keys: DataFrame, usable: DataFrame, n_examples: int = 20) -> dict[str, DataFrame]:
+    """The parts of the blocking report, by name.
+
+    cost: candidates of a query record and source, mean, median and 90th percentile; recall: by country, target source and script; keys;
+    reasons: why matches were missed, with their share of all; better: how many kept pairs stand before those ranked out; oversized:
+    the key types most often shared by those whose blocks are too large; examples.  scored_misses(s1_id, src, tgt_id,
+    cos_name, cos_addr, cheap) are the matches that pairs lacks.
+    """
+    own = cleaned.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country_norm")
+    script = cleaned.where("src > 1").select(F.col("entity_id").alias("tgt_id"), F.when(F.col("name_was_indic") == 1, "indic").otherwise("latin").alias("script"))
+    marked = truth.distinct().join(own, "s1_id", "left").join(script, "tgt_id", "left").withColumn("tgt", F.substring("tgt_id", 1, 2))
+    found = found_matches(marked, pairs.drop("country"))
+    per = own.select("s1_id").join(pairs.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id", "left").fillna(0, ["n"])
+    why = miss_reasons(scored_misses, keys, usable, pairs.select("s1_id", "src", "cheap"))
+    total = truth.distinct().agg(F.count("*").alias("n_true"))
+    return {
+        "cost": per.agg(F.sum("n").alias("pairs"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("p50"), F.percentile("n", F.lit(0.9)).alias("p90")),
+        "recall": recall_by(found, "country_norm", "tgt", "script"),
+        "keys": key_usefulness(found),
+        "reasons": top_values(why, "reason").join(F.broadcast(total)).withColumn("share", F.col("cnt") / F.col("n_true")).drop("n_true"),
+        "better": value_percentiles(why.where("reason = 'ranked out'"), "n_better"),
+        "oversized": top_values(why.where("reason = 'blocks too large'"), "shared_keys", 3),
+        "examples": pair_rows(stratified(why, "reason", n_examples, F.xxhash64("s1_id", "tgt_id"), "s1_id", "tgt_id"), cleaned, ["business_name", "business_address", "name_core"]),
+    }

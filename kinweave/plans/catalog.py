@@ -13,19 +13,20 @@ from kinweave.operators import blocking, context, decide, features, learning, re
 from kinweave.plans import fixture
 from kinweave.plans.fixture import table
 from kinweave.sources import records as sources
+from kinweave.sources.shared import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Limits for the fixture: small enough that some keys are dropped at any size.
-SETTINGS = Settings(max_block_target=40, max_block_pairs=800, topk_joint=3, topk_name=1, topk_addr=1, min_cheap=0.05)
+#: As in production.
+SETTINGS = Settings()
 
 # --- the fixture in SQL; each block builds on those before it ---
 
 WORDS = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
 SQL_RECORDS = f"""
 WITH base AS (SELECT 1 + doc_id % 3 AS src, 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, coalesce(lang, '') AS country, {WORDS} AS k FROM documents),
-rec AS (SELECT src, entity_id, country, k[1:6] AS nt, k[7:18] AS adt, array_to_string(k, ' ') AS f FROM base)
+rec AS (SELECT src, entity_id, country, k[1:6] AS nt, k[7:] AS adt, array_to_string(k, ' ') AS f FROM base)
 """
 SQL_STATS = SQL_RECORDS + """,
 name_df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(nt)) AS token FROM rec) GROUP BY token),
@@ -114,7 +115,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rec = fixture.records(spark, d)
-    return rec, blocking.block_keys(rec, blocking.token_df(rec, "name_tokens"), blocking.token_df(rec, "addr_tokens"))
+    return rec, materialise(blocking.block_keys(rec, blocking.token_df(rec, "name_tokens"), blocking.token_df(rec, "addr_tokens")))
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +135,7 @@ def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _top(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rec, scored = _scored(spark, d)
-    return rec, blocking.top_pairs(scored, SETTINGS)
+    return rec, materialise(blocking.top_pairs(scored, SETTINGS))
 
 
 def _p(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

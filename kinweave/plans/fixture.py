@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.sources.shared import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, entity_id, country and fields from the first 18 words of each whole document."""
+    """src, entity_id, country and fields of each whole document: six words of name, all others of address.  Written once."""
     docs = table(spark, sf_dir, "documents")
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " ")), " "), lambda w: w != "")
     src = (1 + F.col("doc_id") % 3).cast("tinyint")
-    base = docs.select(src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.coalesce("lang", F.lit("")).alias("country"), F.filter(words, lambda w: w != "").alias("k"))
-    cut = base.withColumns({"name_tokens": F.slice("k", 1, 6), "addr_tokens": F.slice("k", 7, 12)})
     digit = lambda w: w.rlike("[0-9]")
-    out = cut.withColumns(
-        {
-            "addr_alpha": F.filter("addr_tokens", lambda w: ~digit(w)),
-            "addr_nums": F.filter("addr_tokens", digit),
-            "name_core": F.array_join("name_tokens", " "),
-            "addr_norm": F.array_join("addr_tokens", " "),
-            "name_compact": F.array_join("name_tokens", ""),
-            "name_key": F.array_join(F.array_sort("name_tokens"), " "),
-            "name_initials": F.array_join(F.transform("name_tokens", lambda w: F.substring(w, 1, 1)), ""),
-            "addr_house": F.coalesce(F.get(F.filter("addr_tokens", digit), F.lit(0)), F.lit("")),
+
+    def fields(k: Column) -> Column:
+        names, places = F.slice(k, 1, 6), F.slice(k, 7, F.greatest(F.size(k), F.lit(1)))
+        out = {
+            "name_tokens": names,
+            "addr_tokens": places,
+            "addr_alpha": F.filter(places, lambda w: ~digit(w)),
+            "addr_nums": F.filter(places, digit),
+            "name_core": F.array_join(names, " "),
+            "addr_norm": F.array_join(places, " "),
+            "name_compact": F.array_join(names, ""),
+            "name_key": F.array_join(F.array_sort(names), " "),
+            "name_initials": F.array_join(F.transform(names, lambda w: F.substring(w, 1, 1)), ""),
+            "addr_house": F.coalesce(F.get(F.filter(places, digit), F.lit(0)), F.lit("")),
             "addr_postal": F.lit(""),
-            "full": F.array_join("k", " "),
+            "full": F.sha2(F.array_join(k, " "), 256),
         }
-    )
-    return out.drop("k")
+        return F.struct(*[v.alias(n) for n, v in out.items()])
+
+    # A lambda's variable is evaluated once; a plain column would be copied into every field.
+    cut = F.transform(F.array(words), fields)[0].alias("x")
+    return materialise(docs.select(src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.coalesce("lang", F.lit("")).alias("country"), cut).select("src", "entity_id", "country", "x.*"))
 
 
 def truth(recs: DataFrame) -> DataFrame:
     """(s1_id, tgt_id): query and target records of one country with the same cleaned text."""
-    a = recs.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", F.xxhash64("full").alias("h"), "full")
-    b = recs.where("src > 1").select(F.col("entity_id").alias("tgt_id"), "country", F.xxhash64("full").alias("h"), F.col("full").alias("f2"))
-    return a.join(b, ["country", "h"]).where(F.col("full") == F.col("f2")).select("s1_id", "tgt_id")
+    a = recs.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "full")
+    b = recs.where("src > 1").select(F.col("entity_id").alias("tgt_id"), "country", "full")
+    return a.join(b, ["country", "full"]).select("s1_id", "tgt_id")
 
 
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:

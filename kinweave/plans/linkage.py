@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.ml import PipelineModel
@@ -16,6 +16,7 @@ from kinweave.functions import tables as T
 from kinweave.functions.cleaning import clean_records
 from kinweave.operators import blocking, decide, learning
 from kinweave.operators.features import FEATURES, pair_features
+from kinweave.sources.shared import discard, materialise
 
 
 @dataclass
@@ -30,13 +31,19 @@ class Model:
 
 
 def clean(records: DataFrame, state: dict | None = None) -> DataFrame:
-    return clean_records(records, state)
+    """Cleaned records, written once: candidates, statistics and features all read them, with the columns they need."""
+    return materialise(clean_records(records, state))
 
 
 #: Entries of a learned table at most; they are broadcast to the cleaning workers.
 TABLE_ENTRIES = 300_000
 
 
+def top(table: DataFrame, weight: str, key: str, n: int = TABLE_ENTRIES) -> DataFrame:
+    """The n entries of most weight, by key among equals."""
+    return table.orderBy(F.desc(weight), key).limit(n)
+
+
 def _met(records: DataFrame, truth: DataFrame, fields: dict[str, str]) -> DataFrame:
     """True pairs with fields of both sides, as <name>_1 and <name>_2."""
     a = records.where("src = 1").select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{n}_1") for n, c in fields.items()])
@@ -58,7 +65,7 @@ def learn_translit(records: DataFrame, truth: DataFrame) -> dict[str, str]:
 
     ready = pairs.select(F.concat_ws(":", "s1_id", "tgt_id").alias("id"), sounds("raw_2").alias("left"), sounds("raw_1").alias("right"))
     votes = learning.aligned_words(ready).where(text.has_indic(F.col("word")))
-    return {r["word"]: r["value"] for r in learning.dictionary_votes(votes).limit(TABLE_ENTRIES).toLocalIterator()}
+    return {r["word"]: r["value"] for r in top(learning.dictionary_votes(votes), "cnt", "word").toLocalIterator()}
 
 
 def learn_protected(records: DataFrame, truth: DataFrame) -> list[str]:
@@ -73,7 +80,7 @@ def learn_protected(records: DataFrame, truth: DataFrame) -> list[str]:
     # The typo check runs once for each distinct word.
     known = each.select("word").distinct().withColumn("to", fixed("word")).where("to <> word")
     met = each.join(known, "word").select("word", F.array_contains("w2", F.col("word")).alias("kept"), (~F.array_contains("w2", F.col("word")) & F.array_contains("w2", F.col("to"))).alias("fixed"))
-    return sorted(r["word"] for r in learning.protected_words(met).limit(TABLE_ENTRIES).toLocalIterator())
+    return sorted(r["word"] for r in top(learning.protected_words(met), "kept", "word").toLocalIterator())
 
 
 def learn_state(records: DataFrame, truth: DataFrame, settings: Settings | None = None) -> dict:
@@ -95,39 +102,59 @@ def learn_state(records: DataFrame, truth: DataFrame, settings: Settings | None
     for name, (column, known) in listed.items():
         protected = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in sorted(known)])).alias("word"))
         pairs = _met(cleaned, truth, {"w": column}).select(F.col("w_1").alias("left"), F.col("w_2").alias("right"))
-        state[name] = {r["short"]: r["long"] for r in learning.mine_abbreviations(pairs, protected, settings.mine_abbrev_min_count).limit(TABLE_ENTRIES).toLocalIterator()}
+        state[name] = {r["short"]: r["long"] for r in top(learning.mine_abbreviations(pairs, protected, settings.mine_abbrev_min_count), "cnt", "short").toLocalIterator()}
     return state
 
 
 def candidates_and_features(cleaned: DataFrame, settings: Settings) -> DataFrame:
-    return pair_features(blocking.generate_candidates(cleaned, settings), cleaned)
+    return pair_features(materialise(blocking.generate_candidates(cleaned, settings)), cleaned)
+
 
+def train(records: DataFrame, truth: DataFrame, settings: Settings | None = None, rules: list[decide.Rule] | None = None, state: dict | None = None) -> tuple[Model, DataFrame]:
+    """(model, rule search): two-stage trees on most records, calibration and the rule on a held-out part, split by id.
 
-def train(records: DataFrame, truth: DataFrame, settings: Settings | None = None, rules: list[decide.Rule] | None = None, state: dict | None = None, **trees) -> tuple[Model, DataFrame]:
-    """(model, rule search): two-stage trees on most records, calibration and the rule on a held-out part, split by id."""
+    The number of records is kept with the model, so that block limits grow with larger corpora.
+    """
     settings = settings or Settings()
-    cleaned = clean(records, state).persist()
-    pairs = learning.label_pairs(candidates_and_features(cleaned, settings), truth)
-    split = learning.hash_split(pairs, "s1_id", {"fit": 1 - settings.holdout_frac, "tune": settings.holdout_frac}).persist()
-    first, second, columns = learning.fit_two_stages(split.where("split = 'fit'"), FEATURES, settings, **trees)
+    cleaned = clean(records, state)
+    if not settings.ref_records:
+        settings = replace(settings, ref_records=cleaned.count())
+    shares = {"fit": 1 - settings.holdout_frac, "tune": settings.holdout_frac}
+    split = materialise(learning.hash_split(learning.label_pairs(candidates_and_features(cleaned, settings), truth), "s1_id", shares))
+    first, second, columns = learning.fit_two_stages(split.where("split = 'fit'"), FEATURES, settings)
     tune = learning.score_two_stages(first, second, split.where("split = 'tune'"), FEATURES, columns)
     isotonic = learning.fit_isotonic(tune)
     scored = learning.calibrate(isotonic, tune).select("s1_id", "src", "tgt_id", "p")
-    entities = learning.hash_split(cleaned.where("src = 1").select(F.col("entity_id").alias("s1_id")), "s1_id", {"fit": 1 - settings.holdout_frac, "tune": settings.holdout_frac}).where("split = 'tune'")
-    found = decide.search_rules(scored, truth.join(entities, "s1_id", "left_semi"), entities, rules)
+    entities = materialise(learning.hash_split(cleaned.where("src = 1").select(F.col("entity_id").alias("s1_id")), "s1_id", shares).where("split = 'tune'"))
+    found = materialise(decide.search_rules(scored, truth.join(entities, "s1_id", "left_semi"), entities, rules))
     best = found.orderBy(F.desc("macro_f05"), "rule_id").first()
-    rule = decide.Rule(**{k: best[k] for k in ("mode", "t", "miss", "w0", "min_p", "single_owner")})
-    cleaned.unpersist()
-    return Model(first, second, isotonic, rule, settings, columns, state or {}), found
+    for table in (split, cleaned):
+        discard(table)
+    return Model(first, second, isotonic, decide.rule_of(best), settings, columns, state or {}), found
 
 
-def score(records: DataFrame, model: Model) -> DataFrame:
-    """(s1_id, src, tgt_id, p) of all candidate pairs."""
-    pairs = candidates_and_features(clean(records, model.state), model.settings)
+def score_features(pairs: DataFrame, model: Model) -> DataFrame:
+    """(s1_id, src, tgt_id, p) of pairs with their features."""
     scored = learning.score_two_stages(model.first, model.second, pairs, FEATURES, model.columns)
     return learning.calibrate(model.isotonic, scored).select("s1_id", "src", "tgt_id", "p")
 
 
+def score(records: DataFrame, model: Model) -> DataFrame:
+    """(s1_id, src, tgt_id, p) of all candidate pairs."""
+    return score_features(candidates_and_features(clean(records, model.state), model.settings), model)
+
+
+def blocking_tables(cleaned: DataFrame, truth: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+    """keys, usable keys, candidate pairs, and the true pairs missed with their cheap scores."""
+    lands = cleaned.withColumn("country", F.col("country_norm"))
+    keys = materialise(blocking.block_keys(lands, blocking.token_df(cleaned, "name_tokens"), blocking.token_df(cleaned, "addr_tokens"), settings.use_country_in_keys))
+    usable = materialise(blocking.usable_keys(keys, settings, cleaned.count()))
+    found = materialise(blocking.top_pairs(blocking.cheap_scores(blocking.candidate_pairs(keys, usable), cleaned, settings), settings))
+    targets = cleaned.where("src > 1").select(F.col("entity_id").alias("tgt_id"), "src")
+    missed = truth.distinct().join(found, ["s1_id", "tgt_id"], "left_anti").join(targets, "tgt_id")
+    return {"keys": keys, "usable": usable, "pairs": found, "misses": materialise(blocking.cheap_scores(missed, cleaned, settings))}
+
+
 def predict(records: DataFrame, model: Model) -> DataFrame:
     """All candidate pairs with p and keep."""
     return decide.decide(score(records, model), model.rule)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators import context, decide, learning
@@ -48,7 +49,7 @@ def fit(scored: DataFrame, truth: DataFrame, entities: DataFrame, least_gain: fl
         ids = split.where(F.col("split") == part)
         own = truth.join(ids, "s1_id", "left_semi")
         r = decide.search_rules(rows.join(ids.select("s1_id"), "s1_id", "left_semi"), own, ids, only).orderBy(F.desc("macro_f05"), "rule_id").first()
-        return decide.Rule(**{k: r[k] for k in ("mode", "t", "miss", "w0", "min_p", "single_owner")}), r["macro_f05"]
+        return decide.rule_of(r), r["macro_f05"]
 
     new = rescore(model, ready)
     old_rule, _ = best(scored, "tune", rules)
@@ -56,3 +57,19 @@ def fit(scored: DataFrame, truth: DataFrame, entities: DataFrame, least_gain: fl
     before, after = best(scored, "check", [old_rule])[1], best(new, "check", [rule])[1]
     ready.unpersist()
     return Third(model, rule, before, after, after - before >= least_gain)
+
+
+def save(spark: SparkSession, got: Third, path: str) -> None:
+    got.model.write().overwrite().save(f"{path}/model")
+    line = json.dumps({"rule": vars(got.rule), "before": got.before, "after": got.after})
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+
+
+def load(spark: SparkSession, path: str) -> Third:
+    m = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    return Third(PipelineModel.load(f"{path}/model"), decide.Rule(**m["rule"]), m["before"], m["after"], True)
+
+
+def apply(got: Third, scored: DataFrame, entities: DataFrame) -> DataFrame:
+    """All pairs of scored(s1_id, src, tgt_id, p) with the third model's p, and keep by its rule; entities(s1_id, country)."""
+    return decide.decide(rescore(got.model, features(scored, entities)), got.rule)

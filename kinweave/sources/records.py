@@ -77,17 +77,25 @@ def repair_fields(text: Column, countries: list[str]) -> Column:
     return F.when(n > 4, many).when(n == 4, fields).when(n == 3, three).otherwise(F.array(at(0), at(1), at(2), at(3)))
 
 
-def repair_file(spark: SparkSession, path: str, source: int, countries: tuple[str, ...] = ("India", "US", "USA", "United States", "France")) -> DataFrame:
-    """A broken source file as records: glued, with four fields, the header and blank lines gone, columns in the header's order."""
-    lines = numbered_lines(spark, path).withColumn("line", F.regexp_replace(F.regexp_replace("line", "^﻿", ""), "\r$", "")).where(F.trim("line") != "")
-    header = lines.where(F.col("line").startswith("entity_id\t") | F.col("line").contains("\tentity_id")).select("line").limit(1).collect()
-    order = [c.strip() for c in header[0][0].split("\t")] if header else COLUMNS
-    order = order if set(order) == set(COLUMNS) else COLUMNS
-    body = lines.where(~(F.col("line").contains("entity_id") & F.col("line").contains("business_name")))
-    glued = glue_lines(body, ["file"], "pos", F.col("line").rlike("^S[123]-"), chunk=F.col("pos.block"))
-    fields = glued.select("file", "rec", "n_lines", repair_fields(F.col("text"), list(countries)).alias("f"))
-    out = fields.select("file", "rec", "n_lines", *[F.get("f", F.lit(order.index(c))).alias(c) for c in COLUMNS])
-    return out.withColumn("src", F.lit(source).cast("tinyint"))
+COUNTRY_NAMES = ("India", "US", "USA", "United States", "France")
+
+
+def repair_lines(lines: DataFrame, source: int, countries: tuple[str, ...] = COUNTRY_NAMES) -> DataFrame:
+    """Lines (file, pos, line) as records: glued, with four fields, header and blank lines gone, columns in the order of the file's header."""
+    plain = lines.withColumn("line", F.regexp_replace(F.regexp_replace("line", "^\ufeff", ""), "\r$", "")).where(F.trim("line") != "")
+    names = F.transform(F.split("line", "\t"), lambda x: F.trim(x))
+    is_header = F.col("line").contains("entity_id") & F.col("line").contains("business_name")
+    # A row for each file at most; a header that does not name the four columns counts for nothing.
+    headers = plain.where(is_header).groupBy("file").agg(F.min_by(names, "pos").alias("order")).where(F.array_sort("order") == F.array(*map(F.lit, sorted(COLUMNS))))
+    glued = glue_lines(plain.where(~is_header), ["file"], "pos", F.col("line").rlike("^S[123]-"), chunk=F.col("pos.block"))
+    fields = glued.join(headers, "file", "left").select("file", "rec", "n_lines", F.coalesce("order", F.array(*map(F.lit, COLUMNS))).alias("order"), repair_fields(F.col("text"), list(countries)).alias("f"))
+    at = lambda c: F.get("f", (F.array_position("order", c) - 1).cast("int"))
+    return fields.select("file", "rec", "n_lines", *[at(c).alias(c) for c in COLUMNS], F.lit(source).cast("tinyint").alias("src"))
+
+
+def repair_file(spark: SparkSession, path: str, source: int, countries: tuple[str, ...] = COUNTRY_NAMES) -> DataFrame:
+    """A broken source file, or several under one path, as records."""
+    return repair_lines(numbered_lines(spark, path), source, countries)
 
 
 def first_by_id(*parts: DataFrame) -> DataFrame:
@@ -117,10 +125,21 @@ def clean_field(c: Column) -> Column:
 # --- outputs ---
 
 
-def id_lists(entities: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:
-    """A row for each of entities(s1_id) with its pairs' ids sorted and joined; empty without any."""
+def id_lists(entities: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids", in_order: bool = False) -> DataFrame:
+    """A row for each of entities(s1_id) with its pairs' ids sorted and joined; empty without any.
+
+    in_order: as the ids come in entities first, such as the lines of a file.
+    """
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("tgt_id")), ",").alias(name))
-    return entities.select("s1_id").distinct().join(lists, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
+    own = entities.select("s1_id", F.monotonically_increasing_id().alias("pos")).groupBy("s1_id").agg(F.min("pos").alias("pos")) if in_order else entities.select("s1_id").distinct()
+    met = own.join(lists, "s1_id", "left")
+    return (met.orderBy("pos") if in_order else met).select(F.col("s1_id").alias("source1_entity_id"), F.coalesce(name, F.lit("")).alias(name))
+
+
+def empty_share(lists: DataFrame, records: DataFrame, column: str = "country", name: str = "matched_entity_ids") -> DataFrame:
+    """(country, n, empty): the share of records without any id in their list, by a column of their record."""
+    land = records.where("src = 1").select(F.col("entity_id").alias("source1_entity_id"), column)
+    return lists.join(land, "source1_entity_id", "left").groupBy(column).agg(F.count("*").alias("n"), F.avg((F.col(name) == "").cast("double")).alias("empty"))
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -146,3 +165,55 @@ def validate(lists: DataFrame, entities: DataFrame, targets: DataFrame, candidat
     return found
 
 
+
+
+# --- files of one folder, through the session's file system ---
+
+
+def _paths(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _paths(spark, path)
+    return bool(fs.exists(p))
+
+
+def find_half(spark: SparkSession, folder: str, source: int) -> str | None:
+    """The one .tsv file of a folder with `half` and the source's number in its name; none if there are several."""
+    p, fs = _paths(spark, f"{folder.rstrip('/')}/*.tsv")
+    hits = [s.getPath() for s in fs.globStatus(p) or [] if "half" in s.getPath().getName().lower() and str(source) in s.getPath().getName()]
+    return hits[0].toString() if len(hits) == 1 else None
+
+
+def replace_file(spark: SparkSession, df: DataFrame, path: str) -> str:
+    """df in the place of path, which is kept as <path>.orig the first time; written beside it, then renamed."""
+    old, fs = _paths(spark, path)
+    kept, fresh = _paths(spark, f"{path}.orig")[0], _paths(spark, f"{path}.new")[0]
+    fs.delete(fresh, True)
+    write_table(df, f"{path}.new")
+    if fs.exists(kept):
+        fs.delete(old, True)
+    elif not fs.rename(old, kept):
+        raise OSError(f"cannot keep {path}")
+    if not fs.rename(fresh, old):
+        raise OSError(f"cannot replace {path}")
+    return kept.toString()
+
+
+def pack(spark: SparkSession, tables: dict[str, str], out: str) -> None:
+    """A zip file of tables written by write_table, each as one file with one header; bytes go through in small pieces."""
+    import io
+    import zipfile
+
+    missing = [p for p in tables.values() if not exists(spark, f"{p}/_SUCCESS")]
+    if missing:
+        raise FileNotFoundError(", ".join(missing))
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, path in tables.items():
+            columns = spark.read.option("sep", "\t").option("quote", "").option("header", True).csv(path).columns
+            with z.open(f"output/{name}.tsv", "w", force_zip64=True) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as f:
+                f.write("\t".join(columns) + "\n")
+                for (line,) in spark.read.text(f"{path}/part-*").where(F.col("value") != "\t".join(columns)).toLocalIterator():
+                    f.write(line + "\n")
