@@ -114,7 +114,7 @@ def test_steps_resume_try_again_and_stop(spark, tmp_path, capsys):
 
 def test_repair_with_half_file_backup_and_broken_references(spark, tmp_path, capsys):
     (tmp_path / "main1.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tAcme\t1 Main St,\nSpringfield\tUS\nS1-2\tBolt\t2 Main St India\n")
-    (tmp_path / "half_1.tsv").write_text("country\tentity_id\tbusiness_name\tbusiness_address\nFR\tS1-3\tCafe\t3 rue X\nUS\tS1-1\tother\tother\n")
+    (tmp_path / "half_1.tsv").write_text("entity_id\tcountry\tbusiness_name\tbusiness_address\nS1-3\tFR\tCafe\t3 rue X\nS1-1\tUS\tother\tother\n")
     (tmp_path / "truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1\nS1-9\t\nS1-8\tS2-2\n")
     assert sources.find_half(spark, str(tmp_path), 1).endswith("half_1.tsv") and sources.find_half(spark, str(tmp_path), 2) is None
     with pytest.raises(SystemExit) as stop:
