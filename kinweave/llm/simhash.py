@@ -28,9 +28,10 @@ from .components import components
 
 BITS, BUDGET, SEED = 64, 3, 42
 #: Fingerprints of one top node that are joined without descending, and how often nodes are descended into.
-NODE_ROWS, DEPTH = 4_096, 3
-#: Node pairs that a traversal step expands at once, and links that are held before they become a forest.
-FRONTIER, HELD_LINKS = 1 << 20, 1 << 21
+NODE_ROWS, DEPTH = 2_048, 3
+#: Node pairs that a traversal step expands at once (200 bytes each while it does), and links that are held before they
+#: become a forest.
+FRONTIER, HELD_LINKS = 1 << 17, 1 << 19
 CUTS = (0, 13, 26, 39, 52, 64)
 _M64 = (1 << 64) - 1
 _SPAN = [((1 << (b - a)) - 1) << (64 - b) for a, b in zip(CUTS, CUTS[1:])]
