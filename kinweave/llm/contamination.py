@@ -15,8 +15,9 @@ from .common import materialise
 from .native import ascii_words, let, shingle_hashes
 
 SHINGLE = 3
-#: Shingles of all items that are broadcast at most (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Shingles of all items, or places that windows may stand at, that are broadcast at most (with a window's words, some 200 bytes
+#: each); more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -51,14 +52,16 @@ def candidates(docs: DataFrame, windows: DataFrame) -> DataFrame:
     shingles = windows.select(F.explode("shingles").alias("h")).distinct()
     few = windows.agg(F.sum(F.size("shingles"))).first()[0] or 0
     small = (lambda df: F.broadcast(df)) if few <= BROADCAST_ROWS else (lambda df: df)
-    rows = doc_shingles(docs, lengths)
-    often = materialise(rows.select("h").join(small(shingles), "h").groupBy("h").agg(F.count("*").alias("n_docs")))
+    # One pass over the texts: every place of every shingle that some item has, for counts and candidates alike.
+    rows = materialise(doc_shingles(docs, lengths).join(small(shingles), "h"))
+    often = materialise(rows.groupBy("h").agg(F.count("*").alias("n_docs")))
     placed = windows.select("wtext", "len", "items", F.posexplode("shingles").alias("off", "h")).join(small(often), "h", "left")
     prefix = placed.groupBy("wtext").agg(F.min_by(F.struct("h", "off", "len", "items"), F.struct(F.coalesce("n_docs", F.lit(0)), F.col("h"), F.col("off"))).alias("p"))
     prefix = materialise(prefix.select("p.h", "p.off", "p.len", "p.items", "wtext"))
     met = rows.join(small(prefix), "h").withColumn("start", F.col("pos") - F.col("off"))
     inside = met.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-    return inside.groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "wtext", "items")).alias("cands"))
+    # A window is looked for once at a place, however many rows of one doc_id have it there.
+    return inside.groupBy("doc_id").agg(F.collect_set(F.struct("start", "len", "wtext", "items")).alias("cands"))
 
 
 def _outcome(w: Column, cands: Column) -> Column:
@@ -78,9 +81,12 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     """
     docs = docs.drop("leak")
     windows = materialise(item_windows(items, size))
-    cands = candidates(docs, windows).withColumnRenamed("doc_id", "__cand_doc")
+    cands = materialise(candidates(docs, windows).withColumnRenamed("doc_id", "__cand_doc"))
+    places = cands.agg(F.sum(F.size("cands"))).first()[0] or 0
+    # The texts stay where they are while the places are few.
+    cands = F.broadcast(cands) if places <= BROADCAST_ROWS else cands
     both = docs.join(cands, docs["doc_id"].eqNullSafe(cands["__cand_doc"]), "left").drop("__cand_doc")
-    none = F.expr("array()").cast(cands.schema["cands"].dataType)
+    none = F.array().cast(cands.schema["cands"].dataType)
     leak = let(ascii_words(F.col("text")), lambda w: _outcome(w, F.coalesce("cands", none)))
     return both.withColumn("leak", leak).drop("cands")
 
