@@ -1,11 +1,8 @@
-"""Shared plumbing: shared-folder tables, table loading, Arrow text buffers."""
+"""Shared plumbing: table loading, bounded samples, partitions by size, Arrow text buffers."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from kinweave.sources.shared import discard, materialise, sweep, written  # noqa: F401  used by the operators from here
+
 #: Text bytes that a vectorised kernel handles at once; a longer single text is one block.
 BLOCK_BYTES = 1 << 20
 ARROW_ROWS = 2_000
@@ -23,66 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not found:
-        found = tempfile.mkdtemp(prefix="kinweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-_written: list[DataFrame] = []
-
-
-def written() -> int:
-    """A mark for sweep(): how many intermediate tables have been written so far."""
-    return len(_written)
-
-
-def sweep(since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the intermediate tables written since a mark, but for `keep`.
-
-    For long sessions: call it when the results that read them have been taken.
-    """
-    for df in _written[since:]:
-        if df is not keep:
-            discard(df)
-    _written[since:] = [df for df in _written[since:] if df is keep]
-
-
-@atexit.register
-def _sweep_at_exit() -> None:
-    """Tables still there when the driver's program ends go; results that read them have been taken by then."""
-    try:
-        sweep()
-    except Exception:  # noqa: BLE001  the JVM may have gone first
-        return
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write to the shared folder, return a scan of what was written."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kinweave_path = path
-    _written.append(out)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing reads it any more."""
-    path = getattr(df, "kinweave_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        df.kinweave_path = None
-
-
 def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; what one of them held goes back to the system before the next."""
     for batch in batches:
