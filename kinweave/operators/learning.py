@@ -20,7 +20,7 @@ TARGET_CONTEXT = ["ctx_rank_rev", "ctx_gap_rev", "ctx_n_rev", "ctx_margin_rev"]
 
 def sample_rows(df: DataFrame, n: int, column: str, seed: int = 42) -> DataFrame:
     """Exactly n rows of df, or all if there are fewer: those whose ids hash least, the same ones in any partitions."""
-    return df.orderBy(F.xxhash64(F.lit(seed), column), column).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(column).cast("string")).cast("binary")), column).limit(n)
 
 
 def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:

@@ -388,7 +388,7 @@ def jaro_winkler(spark: SparkSession, d: str) -> DataFrame:
 @query("string_similarities")
 def string_similarities(spark: SparkSession, d: str) -> DataFrame:
     sims = [F.round(similarity.pair_similarity(k, F.col("a"), F.col("b")), 4).alias(k) for k in ("ratio", "tsort", "tset", "partial")]
-    return _names(spark, d).select("p_partkey", *sims, similarity.osa_distance(F.col("a"), F.col("b")).alias("osa"))
+    return _names(spark, d).select("p_partkey", *sims)
 
 
 @query("row_cosine", """WITH a AS (SELECT vec_id, embedding AS e FROM embeddings) SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))
@@ -558,15 +558,6 @@ def blocking_bound(spark: SparkSession, d: str) -> DataFrame:
     return report.upper_bound(p, fixture.truth(rec), _entities(rec)).select(F.round("macro_f05", 6).alias("macro_f05"))
 
 
-@query("miss_reasons")
-def miss_reasons(spark: SparkSession, d: str) -> DataFrame:
-    rec, keys = _keys(spark, d)
-    top = _top(spark, d)[1]
-    missed = _found(spark, d).where("NOT found").select("s1_id", "tgt_id", F.col("tgt").cast("tinyint").alias("src"), F.lit(1.0).alias("cheap"))
-    out = report.miss_reasons(missed, keys, blocking.usable_keys(keys, SETTINGS, 0), top.select("s1_id", "src", "cheap"))
-    return out.groupBy("reason").agg(F.count("*").alias("n"))
-
-
 @query("field_agreement", SQL_TOP + "SELECT e.country, count(*) AS n, round(avg((a.nt = b.nt)::INTEGER), 6) AS eq_name FROM truth t JOIN ents e USING (s1_id) JOIN rec a ON a.entity_id = t.s1_id JOIN rec b ON b.entity_id = t.tgt_id GROUP BY 1")
 def field_agreement(spark: SparkSession, d: str) -> DataFrame:
     rec = fixture.records(spark, d)

@@ -7,7 +7,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from kinweave.plans import catalog
+from kinweave.plans import catalog, checks
+from kinweave.sources import shared
 
 DIR = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DIR.exists(), reason="the driver's tables are not here")
@@ -26,17 +27,28 @@ def rows(columns, found):
     return sorted((tuple(r[i] for i in order) for r in found), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+QUERIES, ORACLE_SQL = catalog.QUERIES | checks.QUERIES, catalog.ORACLE_SQL | checks.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_and_sql_agree(spark, con, name):
-    got = catalog.QUERIES[name](spark, str(DIR))
-    want = con.sql(catalog.ORACLE_SQL[name])
+    mark = shared.written()
+    got = QUERIES[name](spark, str(DIR))
+    want = con.sql(ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    shared.sweep(mark)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL) - {"pair_features"}))
-def test_query_runs(spark, name):
-    assert catalog.QUERIES[name](spark, str(DIR)).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"pair_features"}))
+def test_learned_queries_score_every_row(spark, con, name):
+    """Models have no SQL: a row for each labelled document or record, scores between 0 and 1, better for those that are marked."""
+    got = QUERIES[name](spark, str(DIR)).toPandas()
+    if name == "clean_records":
+        assert len(got) == con.sql("SELECT count(*) FROM documents").fetchall()[0][0] and got["entity_id"].is_unique
+        return
+    assert len(got) == con.sql("SELECT count(*) FROM labels JOIN documents USING (doc_id)").fetchall()[0][0]
+    assert got["p"].between(0, 1).all() and abs(got[got.y == 1].p.mean() - got[got.y == 0].p.mean()) > 0.05
 
 
 def test_entry_works_without_the_corpus_operators(tmp_path):
