@@ -71,13 +71,14 @@ PART_BYTES = 16 << 20
 
 
 def spread(df: DataFrame, size: int, *columns: str) -> DataFrame:
-    """df by columns, in partitions of about PART_BYTES, size being its bytes; in the session's number if that is more.
+    """df by columns, in partitions of about PART_BYTES, size being its bytes, and at least one for each core.
 
-    The session's number is merged to fewer partitions at run time where there is little; a number of our own is not.
+    What is smaller than two such partitions gets the session's number, which is merged to fewer at run time.
     """
     parts = size // PART_BYTES
-    few = parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(*columns) if few else df.repartition(int(parts), *columns)
+    if parts < 2:
+        return df.repartition(*columns)
+    return df.repartition(max(int(parts), df.sparkSession.sparkContext.defaultParallelism), *columns)
 
 
 def crc_mod(doc_id: Column, k: int) -> Column:

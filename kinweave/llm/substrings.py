@@ -124,10 +124,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def sketch(docs: DataFrame, size: int, power: int) -> np.ndarray:
+def sketch(docs: DataFrame, size: int, power: int, total: int) -> np.ndarray:
     """Bits of the merged sketch, row after row: set where a cell counts two or more."""
     parts = map_arrow(docs.select("text"), lambda it: _sketch(it, size, power), "segment long, packed binary")
-    dealt = spread(parts, (ROWS << power) // (1 << SEGMENT) * PART_BYTES, "segment")
+    # Partition sketches have some 8 bytes for each anchor; a task takes one segment at least.
+    dealt = spread(parts, min((ROWS << power) // (1 << SEGMENT) * PART_BYTES, total // 4), "segment")
     merged = map_arrow(dealt.sortWithinPartitions("segment"), _merge, "segment long, bits binary")
     bits = np.zeros((ROWS << power) // 8, np.uint8)
     width = (1 << SEGMENT) // 8
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, size: int = 20) -> DataFrame:
     # A word takes 6 bytes or more as a rule, and an anchor serves 5 or 6 window starts; four cells to an anchor.
     power = min(MOST_POWER, max(LEAST_POWER, int(total / 36 * 4).bit_length()))
     shards = max(LEAST_SHARDS, total // SHARD_BYTES)
-    held = own.sparkSession.sparkContext.broadcast(sketch(own, size, power))
+    held = own.sparkSession.sparkContext.broadcast(sketch(own, size, power, total))
     own = own.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("bucket"), "doc_id", "text")
     entries = map_arrow(own, lambda it: _candidates(it, size, power, held.value, shards), "kind int, key long, packed binary")
     dealt = spread(entries, total, "kind", "key").sortWithinPartitions("kind", "key")
