@@ -91,47 +91,66 @@ def macro_f05(decided: DataFrame, truth: DataFrame, entities: DataFrame) -> Data
     return entity_scores(decided, truth, entities).agg(F.avg("f05").alias("macro_f05"), F.count("*").alias("n"))
 
 
-def _kept_rules(ready: DataFrame, rules: list[Rule]) -> DataFrame:
-    """ready (from prefix_sums) with a row for each rule that keeps the pair: rule_id.
+def _levels(rules: list[Rule]) -> dict[tuple, list[float]]:
+    """Rules that share all but one number: thresholds, and the weights of nothing for each pair of miss and min_p."""
+    out: dict[tuple, set[float]] = {}
+    for r in rules:
+        out.setdefault(("t",) if r.mode == "threshold" else (r.miss, r.min_p), set()).add(r.t if r.mode == "threshold" else r.w0)
+    return {k: sorted(v) for k, v in out.items()}
 
-    What depends on the query record is one window column for each pair of miss and min_p; the rules are then
-    conditions on the row, so only kept pairs are multiplied.
+
+def _kept_masks(ready: DataFrame, levels: dict[tuple, list[float]]) -> DataFrame:
+    """ready (from prefix_sums) with a row for each family of rules that keeps the pair: family, and mask, a bit for each level.
+
+    What depends on the query record is one window column for each pair of miss and min_p.
     """
     entity = Window.partitionBy("s1_id")
-    combos = sorted({(r.miss, r.min_p) for r in rules if r.mode != "threshold"})
     best = {}
-    for i, (miss, least) in enumerate(combos):
-        ef = F.when(F.col("q") >= least, 1.25 * F.col("cum") / (F.col("k") + 0.25 * (F.col("all") + miss))).otherwise(F.lit(-1.0))
-        best[f"best_{i}"] = F.max(F.struct(ef.alias("ef"), (-F.col("k")).alias("nk"))).over(entity)
-    rows = ready.withColumns(best)
+    for i, family in enumerate(levels):
+        if family != ("t",):
+            ef = F.when(F.col("q") >= family[1], 1.25 * F.col("cum") / (F.col("k") + 0.25 * (F.col("all") + family[0]))).otherwise(F.lit(-1.0))
+            best[f"best_{i}"] = F.max(F.struct(ef.alias("ef"), (-F.col("k")).alias("nk"))).over(entity)
 
-    def keeps(r: Rule) -> Column:
-        if r.mode == "threshold":
-            return F.col("p").cast("float") >= F.lit(r.t).cast("float")
-        b = F.col(f"best_{combos.index((r.miss, r.min_p))}")
-        return (F.col("k") <= -b["nk"]) & (r.w0 * F.exp("log_none") * (1 - min(r.miss, 0.99)) < b["ef"])
+    def keeps(i: int, family: tuple, level: float) -> Column:
+        if family == ("t",):
+            return F.col("p").cast("float") >= F.lit(level).cast("float")
+        b = F.col(f"best_{i}")
+        return (F.col("k") <= -b["nk"]) & (level * F.exp("log_none") * (1 - min(family[0], 0.99)) < b["ef"])
 
-    ids = F.filter(F.array(*[F.when(keeps(r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    return rows.select(*ready.columns, F.explode(ids).alias("rule_id"))
+    masks = [sum((F.when(keeps(i, f, x), F.lit(1 << j)).otherwise(F.lit(0)).cast("long") for j, x in enumerate(own)), F.lit(0).cast("long")) for i, (f, own) in enumerate(levels.items())]
+    each = F.filter(F.array(*[F.struct(F.lit(i).alias("family"), m.alias("mask")) for i, m in enumerate(masks)]), lambda x: x["mask"] != 0)
+    return ready.withColumns(best).select(*ready.columns, F.explode(each).alias("f")).select(*ready.columns, "f.family", "f.mask")
 
 
 def search_rules(scored: DataFrame, truth: DataFrame, entities: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """(rule_id, mode, t, miss, w0, min_p, single_owner, macro_f05): all rules in one job."""
+    """(rule_id, mode, t, miss, w0, min_p, single_owner, macro_f05): all rules in one job.
+
+    Pairs are multiplied by families of rules, not by rules: what a family's rules keep is nested by their levels, so one
+    ranking of a target's pairs tells its owner at every level.
+    """
     rules = rules or rule_grid()
     spark = scored.sparkSession
-    cells = [F.struct(F.lit(i).alias("rule_id"), *[F.lit(v).alias(k) for k, v in vars(r).items()]) for i, r in enumerate(rules)]
+    levels = _levels(rules)
+    if max(map(len, levels.values())) > 62:
+        raise ValueError("a family of rules has a bit for each level")
+    families = list(levels)
     y = truth.select("s1_id", "tgt_id").distinct().withColumn("y", F.lit(1))
-    kept = _kept_rules(prefix_sums(scored).join(y, ["s1_id", "tgt_id"], "left"), rules).select("s1_id", "src", "tgt_id", "p", "y", "rule_id")
-    alone = F.get(F.array(*[F.lit(r.single_owner) for r in rules]), F.col("rule_id"))
-    owner = F.row_number().over(Window.partitionBy("src", "tgt_id", "rule_id").orderBy(F.desc("p"), "s1_id"))
-    shared = kept.where(~alone)
-    owned = kept.where(alone).withColumn("o", owner).where("o = 1").drop("o")
-    got = shared.unionByName(owned).groupBy("rule_id", "s1_id").agg(F.sum(F.coalesce("y", F.lit(0))).alias("tp"), F.count("*").alias("kept"))
+    kept = _kept_masks(prefix_sums(scored).join(y, ["s1_id", "tgt_id"], "left").withColumn("y", F.coalesce("y", F.lit(0))), levels).select("s1_id", "src", "tgt_id", "p", "y", "family", "mask")
+    # A pair owns its target where no pair before it is kept.
+    before = Window.partitionBy("src", "tgt_id", "family").orderBy(F.desc("p"), "s1_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("own", F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce(F.bit_or("mask").over(before), F.lit(0).cast("long")))))
+    most = max(map(len, levels.values()))
+    bit = lambda c, j: F.call_function("getbit", F.col(c), F.lit(j)).cast("int")
+    sums = [F.struct(F.lit(j).alias("level"), F.lit(c == "own").alias("owner"), F.sum(bit(c, j) * F.col("y")).alias("tp"), F.sum(bit(c, j)).alias("kept")) for j in range(most) for c in ("mask", "own")]
+    got = kept.groupBy("family", "s1_id").agg(F.array(*sums).alias("x"))
     ids = entities.select("s1_id").distinct()
     want = ids.join(y.groupBy("s1_id").agg(F.count("*").alias("true")), "s1_id", "left").fillna(0, ["true"])
     # Records without a kept pair score 1 if they have no match and 0 otherwise: count them from totals.
-    met = got.join(want, "s1_id").groupBy("rule_id").agg(F.sum(f05(F.col("tp"), F.col("kept"), F.col("true"))).alias("sum"), F.count(F.when(F.col("true") == 0, 1)).alias("empty_kept"))
+    each = got.join(want, "s1_id").select("family", "true", F.explode("x").alias("x")).select("family", "true", "x.*").where("kept > 0")
+    met = each.groupBy("family", "level", "owner").agg(F.sum(f05(F.col("tp"), F.col("kept"), F.col("true"))).alias("sum"), F.count(F.when(F.col("true") == 0, 1)).alias("empty_kept"))
     total = want.agg(F.count("*").alias("n"), F.count(F.when(F.col("true") == 0, 1)).alias("empty")).first()
+    place = [(families.index(f := ("t",) if r.mode == "threshold" else (r.miss, r.min_p)), levels[f].index(r.t if r.mode == "threshold" else r.w0), r.single_owner) for r in rules]
+    cells = [F.struct(F.lit(i).alias("rule_id"), *[F.lit(v).alias(k) for k, v in vars(r).items()], *[F.lit(v).alias(k) for k, v in zip(("family", "level", "owner"), at)]) for i, (r, at) in enumerate(zip(rules, place))]
     table = spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
-    out = table.join(met, "rule_id", "left").fillna(0, ["sum", "empty_kept"])
-    return out.withColumn("macro_f05", (F.col("sum") + total["empty"] - F.col("empty_kept")) / total["n"]).drop("sum", "empty_kept")
+    out = table.join(met, ["family", "level", "owner"], "left").fillna(0, ["sum", "empty_kept"])
+    return out.withColumn("macro_f05", (F.col("sum") + total["empty"] - F.col("empty_kept")) / total["n"]).drop("sum", "empty_kept", "family", "level", "owner")

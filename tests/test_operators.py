@@ -246,9 +246,9 @@ def test_training_and_prediction(spark):
         rows.append((3, f"S3-{i}", base[(i * 7 + 3) % 90][0].split()[0] + " Services", base[(i * 5 + 1) % 90][1], "us"))
     records = spark.createDataFrame(rows, "src int, entity_id string, business_name string, business_address string, country string")
     known = spark.createDataFrame(truth, "s1_id string, tgt_id string")
-    settings = Settings(holdout_frac=0.4, n_folds=2)
+    settings = Settings(holdout_frac=0.4, n_folds=2, trees=4, depth=3, step=0.1, min_rows=1)
     rules = [decide.Rule("threshold", t=0.5), decide.Rule(single_owner=True)]
-    model, found = linkage.train(records, known, settings, rules, trees=4, depth=3)
+    model, found = linkage.train(records, known, settings, rules)
     assert found.count() == 2 and not linkage.has_shared_owner(known)
     kept = linkage.predict(records, model)
     entities = records.where("src = 1").select(F.col("entity_id").alias("s1_id"))
