@@ -15,9 +15,9 @@ from .common import materialise
 from .native import ascii_words, let, shingle_hashes
 
 SHINGLE = 3
-#: Shingles of all items, or places that windows may stand at, that are broadcast at most (with a window's words, some 200 bytes
-#: each); more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Shingles of all items that are broadcast at most (with a window's words, some 200 bytes each); places that windows may stand
+#: at (as many bytes); ids of documents with such places (8 bytes).  More are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_PLACES, BROADCAST_IDS = 200_000, 20_000, 2_000_000
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -82,13 +82,17 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame
     docs = docs.drop("leak")
     windows = materialise(item_windows(items, size))
     cands = materialise(candidates(docs, windows).withColumnRenamed("doc_id", "__cand_doc"))
-    places = cands.agg(F.sum(F.size("cands"))).first()[0] or 0
-    # The texts stay where they are while the places are few.
-    cands = F.broadcast(cands) if places <= BROADCAST_ROWS else cands
-    both = docs.join(cands, docs["doc_id"].eqNullSafe(cands["__cand_doc"]), "left").drop("__cand_doc")
+    many = cands.agg(F.count("*").alias("ids"), F.sum(F.size("cands")).alias("places")).first()
     none = F.array().cast(cands.schema["cands"].dataType)
-    leak = let(ascii_words(F.col("text")), lambda w: _outcome(w, F.coalesce("cands", none)))
-    return both.withColumn("leak", leak).drop("cands")
+    same = lambda c: docs["doc_id"].eqNullSafe(c["__cand_doc"])
+    leak = lambda found: let(ascii_words(F.col("text")), lambda w: _outcome(w, found)).alias("leak")
+    if many["ids"] <= BROADCAST_IDS and (many["places"] or 0) > BROADCAST_PLACES:
+        # Only the texts with such places move; the others are known to be clean.
+        ids = F.broadcast(cands.select("__cand_doc"))
+        some = docs.join(ids, same(ids), "left_semi").join(cands, F.col("doc_id").eqNullSafe(F.col("__cand_doc"))).select(*docs.columns, leak(F.col("cands")))
+        return docs.join(ids, same(ids), "left_anti").select(*docs.columns, leak(none)).unionByName(some)
+    cands = F.broadcast(cands) if (many["places"] or 0) <= BROADCAST_PLACES else cands
+    return docs.join(cands, same(cands), "left").select(*docs.columns, leak(F.coalesce("cands", none)))
 
 
 def digest(found: DataFrame) -> DataFrame:
