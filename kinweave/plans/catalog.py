@@ -624,5 +624,6 @@ def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query("isotonic")
 def isotonic(spark: SparkSession, d: str) -> DataFrame:
-    scored = _document_features(spark, d).select("doc_id", "y", F.col("marks").alias("p"))
+    # The more marks, the likelier a document is a poor one.
+    scored = _document_features(spark, d).select("doc_id", (1 - F.col("y")).alias("y"), F.col("marks").alias("p"))
     return learning.calibrate(learning.fit_isotonic(scored), scored).select("doc_id", "y", F.round("p", 6).alias("p"))
