@@ -5,7 +5,7 @@ from test_simhash import brute
 
 import corpus_pipeline
 from kinweave.llm import mixing
-from kinweave.llm.queries import ORACLE_SQL, QUERIES
+from kinweave.llm.queries import ORACLE_SQL, PARTS, PARTS_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +77,15 @@ def test_pipeline_on_an_empty_table(spark, docs, corpus, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
+@pytest.mark.parametrize("name", list(PARTS))
+def test_parts_agree_with_their_sql(spark, corpus, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{corpus[0]}/documents.parquet/*.parquet'")
+    want = con.sql(PARTS_SQL[name])
+    got = PARTS[name](spark, corpus[0]).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
