@@ -97,8 +97,8 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARTS = {"pii_base_spans": pii_base_spans, "quality_counts": quality_counts}
 
-_FOUND = """SELECT doc_id, '{kind}' AS kind, {at} AS ord, m[i] AS v, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
-  FROM (SELECT doc_id, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{rx}') AS m, regexp_split_to_array(t, '{rx}') AS b FROM d))"""
+_FOUND = """SELECT r, '{kind}' AS kind, {at} AS ord, m[i] AS v, list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT r, m, b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{rx}') AS m, regexp_split_to_array(t, '{rx}') AS b FROM d))"""
 _PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -106,23 +106,23 @@ _PLAIN = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 PARTS_SQL = {
-    "pii_base_spans": "WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ("
+    "pii_base_spans": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), f AS ("
     + " UNION ALL ".join(_FOUND.format(kind=k, at=i, rx=rx) for i, (k, rx) in enumerate(_PLAIN.items()))
     + """), g AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS n FROM f),
 h AS (SELECT * FROM g WHERE CASE kind
   WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND CAST('0' || right(ltrim(x, '0'), 3) AS INT) <= 255))
   WHEN 'card' THEN length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(string_split(reverse(n), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE (2 * CAST(c AS INT)) // 10 + (2 * CAST(c AS INT)) % 10 END)) % 10 = 0
   WHEN 'phone' THEN length(n) BETWEEN 9 AND 15 ELSE true END),
-s AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p,
-  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(v) AS BIGINT), ',' ORDER BY ord, start) AS line FROM h GROUP BY doc_id)
-SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(p, 0)::BIGINT AS n_phone, sha256(coalesce(line, '')) AS base_sha256 FROM d LEFT JOIN s USING (doc_id)""",
+s AS (SELECT r, count(*) FILTER (kind = 'email') AS e, count(*) FILTER (kind = 'ip') AS i, count(*) FILTER (kind = 'card') AS c, count(*) FILTER (kind = 'phone') AS p,
+  string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(v) AS BIGINT), ',' ORDER BY ord, start) AS line FROM h GROUP BY r)
+SELECT doc_id, coalesce(e, 0)::BIGINT AS n_email, coalesce(i, 0)::BIGINT AS n_ip, coalesce(c, 0)::BIGINT AS n_card, coalesce(p, 0)::BIGINT AS n_phone, sha256(coalesce(line, '')) AS base_sha256 FROM d LEFT JOIN s USING (r)""",
     "quality_counts": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-often AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
-rep AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM often) GROUP BY doc_id),
-c AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+often AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM often) GROUP BY r),
+c AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed
-FROM c LEFT JOIN rep USING (doc_id)""",
+FROM c LEFT JOIN rep USING (r)""",
 }
