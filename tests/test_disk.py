@@ -41,6 +41,8 @@ def test_numbered_tokens_count_as_the_tokens_do(spark, monkeypatch):
     assert any(r["rest"] for r in got.values()) and any(r["small"] for r in got.values())
     for e, t in words.items():
         assert got[e]["n"] == len(t) and got[e]["ranked"] == sorted(t, key=lambda w: (df[w], w))[:2]
+    for r in blocking.token_sets(recs, "t", blocking.numbered(stats), "[0-4]$").collect():
+        assert r["n"] == len(words[r["entity_id"]]) and r["ranked"] == sorted((w for w in words[r["entity_id"]] if w[-1] > "4"), key=lambda w: (df[w], w))[:2]
     monkeypatch.setattr(blocking, "ROUND", 100)
     monkeypatch.setattr(blocking, "ROUND_X", 1)
     pairs = recs.where("src = 1").select(F.col("entity_id").alias("s1_id")).crossJoin(recs.where("src > 1").select("src", F.col("entity_id").alias("tgt_id")))
