@@ -64,3 +64,20 @@ def test_rounds_of_records_and_addresses_that_go(spark, tmp_path, monkeypatch):
     left = [t for t in shared._written[mark:] if Path((t.kinweave_path or "/gone").removeprefix("file:")).exists()]
     assert not any("addr_norm" in t.columns or "rest" in t.columns and "known" in t.columns for t in left)  # whole texts stayed till the end before
     shared.sweep(mark)
+
+
+def test_packed_grams_give_the_cosines_of_joined_ones(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["a", "bc", "a", "déf", "ghij", "xyzzyx", "12", "  ", "\t", "bbbbbbb"]
+    rows = [(1 + i % 3, f"S{1 + i % 3}-{i}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(60)] + [(1, "S1-none", None), (2, "S2-lone", "qqqq")]
+    recs = spark.createDataFrame(rows, "src tinyint, entity_id string, t string").repartition(3)
+    pairs = recs.where("src = 1").select(F.col("entity_id").alias("s1_id")).crossJoin(recs.where("src > 1").select("src", F.col("entity_id").alias("tgt_id")))
+    monkeypatch.setattr(blocking, "ROUND", 300)
+    monkeypatch.setattr(blocking, "ROUND_X", 0.5)
+    read = lambda df: {(r["s1_id"], r["tgt_id"]): round(r["c"], 9) for r in df.collect()}
+    for low, high in ((2, 4), (3, 3)):
+        want = read(blocking.pair_cosine(pairs, blocking.gram_weights(recs, "t", low, high), "c"))
+        assert len(want) == 21 * 41 and any(want.values()) and read(blocking.text_cosine(pairs, recs, "t", low, high, "c")) == want
+    monkeypatch.setattr(blocking, "MOST_GRAMS", 5)
+    assert read(blocking.text_cosine(pairs, recs, "t", 3, 3, "c")) == want
+    assert blocking._codes("x\U0001f600", 3, 3) is None
