@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -166,3 +167,42 @@ def test_clean_records_has_all_fields_and_takes_nulls(spark):
 def test_tables_hold_what_they_should():
     assert len(tables.US_STATES) == 55 and len(tables.IN_STATES) == 39 and len(set(tables.FR_REGIONS.values())) == 13
     assert tables.ADDR_SHORT["ave"] == "avenue" and tables.NAME_SHORT["second"] == "2"
+
+
+def test_long_subsequences_leave_out_far_places(monkeypatch):
+    rng = random.Random(4)
+    some = lambda n, letters: [rng.choice(letters) for _ in range(n)]
+    monkeypatch.setattr(similarity, "_SHORT", 32)
+    monkeypatch.setattr(similarity, "_STEP", 16)
+    for k in range(120):
+        letters = ["ab", "abcdefg ", "aé\U0001f600 \0"][k % 3]
+        a = some(rng.randint(0, 200), letters)
+        b = some(rng.randint(0, 300), letters + "z")
+        if k % 2:
+            b = list(a)
+            for _ in range(rng.randint(0, 6)):
+                i = rng.randint(0, len(b))
+                b[i : i + rng.randint(0, 9)] = some(rng.randint(0, 30), letters)
+        a, b = "".join(a), "".join(b)
+        assert similarity.lcs(a, b) == similarity.lcs(b, a) == plain_lcs(a, b)
+    monkeypatch.undo()
+    places, met = [], similarity._met
+
+    def counted(where, n, b, band=lambda i, j: (0, 1 << 30)):
+        def seen(i, j):
+            low, high = band(i, j)
+            places.append((min(high, n) - max(low, 0)) * (j - i))
+            return low, high
+
+        return met(where, n, b, seen)
+
+    monkeypatch.setattr(similarity, "_met", counted)
+    a = "".join(some(20_000, "abcdefgh "))
+    b = "x" + a[:7000] + "yyyyyyyyyy" + a[7000:]
+    assert similarity.lcs(a, b) == 20_000 and sum(places) < 20_000 * 20_000 // 5  # all of them before
+
+
+def test_words_are_classed_once():
+    asked = []
+    known = cleaning.Classes([("n", lambda w: asked.append(w) or w.isdigit())])
+    assert cleaning.classes(["a", "1", "a", "1", "a"], known) == "wnwnw" and asked == ["a", "1"]  # five times before
