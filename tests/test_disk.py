@@ -90,3 +90,29 @@ def test_feature_values_move_no_addresses(spark, tmp_path):
     # Both sides explode names, twice; addresses were exploded as often, and pairs met counts by whole addresses.
     assert plan.count("Generate explode") == 4 and not [x for x in plan.splitlines() if "Join" in x and "addr_norm" in x]
     shared.sweep(mark)
+
+
+def test_best_pairs_in_rounds_of_query_records_write_no_other_pairs(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    bases = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+    rows = [(i, bases[i % 20] + f" x{i % 9}", "en") for i in range(180)]  # groups of copies, whose pairs are many for each record
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    read = lambda df: sorted(map(str, df.collect()))
+    rec, keys = catalog._keys(spark, str(tmp_path), sets=True)
+    sets, usable = rec.kinweave_sets.drop("ranked"), shared.materialise(blocking.usable_keys(keys, catalog.SETTINGS, 0))
+    pairs = catalog._cheap(blocking.meet(blocking.candidate_pairs(keys, usable), sets, *catalog._scores()))
+    want = read(blocking.top_pairs(pairs, catalog.SETTINGS))
+    assert pairs.count() > len(want) > 100
+    n = usable.agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    monkeypatch.setattr(blocking, "KEY_ROWS", n // 2 + 1)
+    monkeypatch.setattr(blocking, "KEY_ROWS_X", 0)
+    for near in (20_000, 1):  # two rounds, with a broadcast and without
+        monkeypatch.setattr(blocking, "NEAR", near)
+        monkeypatch.setattr(blocking, "NEAR_ROUNDS", 2)
+        mark = shared.written()
+        top = blocking.best_pairs(keys, usable, sets, catalog._scores(), catalog._cheap, catalog.SETTINGS)
+        assert top.columns == [*pairs.columns, "rank_cheap"] and read(top) == want
+        if near > 1:  # all pairs were written before
+            assert not [t for t in shared._written[mark:] if "key_mask" in t.columns and "rank_cheap" not in t.columns]
+        shared.sweep(mark)
