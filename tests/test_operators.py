@@ -62,6 +62,31 @@ def test_rule_search_agrees_with_deciding_rule_by_rule(spark, scored, scored_row
     assert len(decide.rule_grid()) == 224
 
 
+def test_tuning_scores_the_whole_grid_and_decides_the_winner_again(spark, scored, scored_rows):
+    true = {(r[0], r[2]) for r in scored_rows if r[3] > 0.7} | {("S1-none", "S2-404")}
+    ids = {r[0] for r in scored_rows} | {"S1-none", "S1-empty"}
+    truth, entities = spark.createDataFrame(list(true), "s1_id string, tgt_id string"), spark.createDataFrame([(x,) for x in ids], "s1_id string")
+    found = {r["rule_id"]: r for r in decide.tuned(scored, truth, entities).collect()}
+    assert len(found) == 224
+    for i, rule in enumerate(decide.rule_grid()):
+        kept = {(a, b) for a, _, b in plain_decision(scored_rows, rule)}
+        count = lambda pairs: [sum(a == x for a, _ in pairs) for x in sorted(ids)]
+        each = list(zip(count(kept & true), count(kept), count(true)))
+        score = sum(1.0 if not k + g else 1.25 * t / (k + 0.25 * g) for t, k, g in each) / len(ids)
+        want = (score, len(kept & true) / max(1, len(kept)), len(kept & true) / len(true), sum(not k for _, k, _ in each) / len(ids))
+        assert [found[i][c] for c in ("macro_f05", "precision", "recall", "empty")] == pytest.approx(want)
+    first = min(found, key=lambda i: (-round(found[i]["macro_f05"], 6), i))
+    assert [i for i in found if found[i]["best"]] == [i for i in found if found[i]["again"] is not None] == [first]
+    assert found[first]["again"] == pytest.approx(found[first]["macro_f05"])
+
+
+def test_rule_grid_covers_every_kind_of_rule():
+    """The query searched six thresholds only, without expected F0.5 and without one owner."""
+    from kinweave.plans import catalog
+
+    assert all(f"({i}, '{r.mode}', {r.t}, {r.miss}, {r.w0}, {r.min_p}, {str(r.single_owner).lower()})" in catalog.ORACLE_SQL["rule_grid"] for i, r in enumerate(decide.rule_grid()))
+
+
 def test_f05_of_empty_sides(spark):
     frame = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (0, 0, 1), (1, 1, 1), (1, 2, 1)], "tp int, k int, g int")
     got = [r[0] for r in frame.select(decide.f05(F.col("tp"), F.col("k"), F.col("g"))).collect()]
