@@ -1,6 +1,8 @@
 """What linkage writes and moves: texts once, tokens as numbers, pairs in rounds."""
 
+import hashlib
 import random
+import re
 from dataclasses import replace
 from pathlib import Path
 
@@ -147,3 +149,27 @@ def test_missed_pairs_are_explained_where_their_records_meet(spark, tmp_path, mo
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "Exchange" in x and "s1_id" in x and "tgt_id" in x]
         shared.sweep(mark)
+
+
+def test_words_of_a_string_count_as_an_array_of_them_does(spark):
+    rng = random.Random(6)
+    rows = [(1 + i % 3, f"S{1 + i % 3}-{i}", " ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(1, "S1-none", None)]
+    recs = spark.createDataFrame(rows, "src tinyint, entity_id string, t string").repartition(3)
+    arrays = recs.withColumn("t", fixture.words("t"))
+    read = lambda df: sorted(map(str, df.collect()))
+    stats = blocking.numbered(blocking.token_df(arrays, "t"))
+    assert read(blocking.token_df(recs, "t")) == read(blocking.token_df(arrays.where("t IS NOT NULL"), "t"))
+    assert read(blocking.token_sets(recs, "t", stats, "[0-4]$")) == read(blocking.token_sets(arrays, "t", stats, "[0-4]$"))
+
+
+def test_fixture_cuts_texts_without_taking_them_apart(spark, tmp_path):
+    docs = ["", None, "One", " a b  c-d e f ", "a b c d e f", "a b c d e f g", "A b c d e f x9y 12 é7z", "!!", "a b c d e f " + "q" * 50_000 + " z1", "1 2 3 4 5 6 nine 0x"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(docs)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    recs = fixture.records(spark, str(tmp_path))
+    for r in recs.collect():
+        words = [w for w in re.sub("[^a-z0-9]+", " ", (docs[int(r["entity_id"][3:])] or "").lower()).split(" ") if w]
+        assert (r["name_tokens"], r["addr_tokens"]) == (words[:6], words[6:])
+        assert r["addr_house"] == next((w for w in words[6:] if re.search("[0-9]", w)), "")
+        assert r["full"] == hashlib.sha256(" ".join(words).encode()).hexdigest()
+    plan = recs.select("addr_house")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # whole addresses were split for one word
