@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -206,3 +207,22 @@ def test_words_are_classed_once():
     asked = []
     known = cleaning.Classes([("n", lambda w: asked.append(w) or w.isdigit())])
     assert cleaning.classes(["a", "1", "a", "1", "a"], known) == "wnwnw" and asked == ["a", "1"]  # five times before
+
+
+def test_pairs_are_compared_in_the_jvm(spark):
+    rng = random.Random(9)
+    some = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(a, b) for a, b in itertools.product(["", " ", "a", "b a a", "a b", "é　\U0001f600 ﬀ", "ﬀ \U0001f600 é"], repeat=2)]
+    for k in range(90):
+        letters = ["ab ", "abcdefgh  ", "aé\U0001f600　ﬀ "][k % 3]
+        a = some(rng.choice([3, 40, 300, 1500]), letters)
+        at = rng.randint(0, len(a))
+        pairs.append((a, a[:at] + some(rng.randint(0, 400), letters) + a[at + rng.randint(0, 90) :] if k % 2 else some(rng.choice([3, 40, 700, 1200]), letters)))
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    short = lambda kind, c: F.substring(c, 1, 60) if kind == "partial" else F.col(c)
+    found = frame.select("i", *[similarity.pair_similarity(kind, short(kind, "a"), short(kind, "b")).alias(kind) for kind in similarity.KINDS])
+    assert "Python" not in found._jdf.queryExecution().toString()
+    for r in found.collect():
+        a, b = pairs[r["i"]]
+        for kind, core in similarity.KINDS.items():
+            assert r[kind] == (core(a[:60], b[:60]) if kind == "partial" else core(a, b)), (kind, a, b)

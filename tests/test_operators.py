@@ -288,3 +288,25 @@ def test_features_have_fixed_names_and_missing_is_null(spark):
     assert len(features.FEATURES) == len(set(features.FEATURES)) == 76
     frame = spark.createDataFrame([("", "a"), ("a", "a"), ("a", "b")], "x string, y string")
     assert [r[0] for r in frame.select(features.agree(F.col("x"), F.col("y"))).collect()] == [None, 1.0, 0.0]
+
+
+def test_number_sets_compare_as_the_tokens_do(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(1 + i % 3, f"S{1 + i % 3}-{i}", [f"w{int(rng.paretovariate(0.4)) % 2000}" for _ in range(rng.randint(0, 40))]) for i in range(90)] + [(1, "S1-same", ["w1", "w2", "w1"]), (2, "S2-same", ["w2", "w1"])]
+    recs = spark.createDataFrame(rows, "src tinyint, entity_id string, t array<string>").withColumn("text", F.concat_ws(" ", "t")).repartition(3)
+    n = len(rows)
+    monkeypatch.setattr(blocking, "SMALL", 20)  # so that sets have tokens of all kinds: a bit, a small number, another number, none
+    monkeypatch.setattr(blocking, "BITS", 64)
+    sets, alike = features.number_sets(recs, "text", n, "s")
+    assert all(sets.where(f"exists(array(s.{kind}), x -> size(x) > 0)").count() for kind in ("small", "rest"))
+    plain = features.with_token_idf(recs, "t", blocking.token_df(recs, "t"), n, "p").join(sets, ["src", "entity_id"])
+    side = lambda mark, where: plain.where(where).select(*[F.col(c).alias(f"{mark}_{c}") for c in ("entity_id", "p", "s")])
+    names = ["wjacc", "cov_a", "cov_b", "max_shared_idf", "max_unshared_idf", "jacc"]
+    want = features.token_set_features(F.col("a_p"), F.col("b_p"), "x", n)
+    met = side("a", "src = 1").crossJoin(side("b", "src > 1")).select(alike(F.col("a_s"), F.col("b_s")).alias("got"), *[want[f"x_{k}"].alias(k) for k in names])
+    rows = met.collect()
+    assert len(rows) > 1000 and any(r["wjacc"] == 1 for r in rows) and any(r["wjacc"] is None for r in rows)
+    for r in rows:
+        for got, k in zip(r["got"], names):
+            got = got / math.log(n + 1) if got is not None and k.startswith("max_") else got
+            assert got == (None if r[k] is None else pytest.approx(r[k], abs=1e-12)), k
